@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normcast.llm.harmonic_packing import pack
+from normcast.llm.hash_mixing import mix
 from normcast.llm.scratch import new_path
+from normcast.llm.simhash_dedup import near_duplicates
 from normcast.llm.token_files import read_documents, write_token_files
 
 
@@ -28,9 +30,53 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_hash_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=3, seed=42, differing=3)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op4_harmonic_packing)}
+    return {f.__name__: f for f in (op2_token_files, op4_harmonic_packing, op9_hash_mixing, op10_simhash_dedup)}
+
+
+#: Sources, caps and budgets as a recursion over sources in order of cap / weight; rows by running sums over their hash.
+OP9 = """
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '') || '|9'), 1, 15))::BIGINT AS h
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3.0, 1.0, 2.0][1 + ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3]::DOUBLE AS weight
+  FROM d GROUP BY source
+), c AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER o, 0)) /
+         (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+  FROM s WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size,
+         CASE WHEN cap <= weight * level THEN cap
+              ELSE weight * (SELECT level FROM c WHERE cap > weight * level ORDER BY cap / weight, source NULLS LAST LIMIT 1) END AS target
+  FROM c
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(target / source_size)) ELSE 0 END AS times FROM t
+), r AS (
+  SELECT doc_id, size, source_size, target, times, target - times * source_size AS rest,
+         sum(size) OVER w AS run, sum(size) OVER g AS n
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+  WINDOW w AS (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         g AS (PARTITION BY d.source, h)
+)
+SELECT doc_id, size, source_size, target,
+       (size * (times + CASE WHEN times < 2 AND (run <= rest OR (run - n <= rest AND run - rest < rest - (run - n))) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_hash_mixing": OP9}
