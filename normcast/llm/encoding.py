@@ -99,7 +99,7 @@ class Encoder:
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(bounds, ids)``: text ``i`` has ``ids[bounds[i]:bounds[i + 1]]``; null and empty texts have none."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = whole(texts)
         if not len(texts):
             return np.zeros(1, np.int64), np.zeros(0, self.dtype)
         odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
@@ -114,16 +114,22 @@ class Encoder:
         odd_bounds, odd_ids = self._gathered(pa.array(keys, pa.large_list(pa.large_string())))
         sizes = np.zeros(len(texts), np.int64)
         sizes[~odd], sizes[odd] = np.diff(bounds), np.diff(odd_bounds)
-        whole = np.concatenate([[0], np.cumsum(sizes)])
-        mixed = np.empty(whole[-1], self.dtype)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        mixed = np.empty(bounds[-1], self.dtype)
         place = np.repeat(odd, sizes)
         mixed[~place], mixed[place] = ids, odd_ids
-        return whole, mixed
+        return bounds, mixed
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_batch(pa.array([text], pa.large_string()))[1]
 
 
+def whole(texts: pa.Array) -> pa.Array:
+    """The texts, nulls empty, in buffers of their own: some kernels misread an array whose first offset isn't 0."""
+    empty = pa.scalar("", pa.large_string())
+    return pc.binary_join_element_wise(empty, pc.fill_null(texts.cast(pa.large_string()), ""), empty)
+
+
 def in_slices(texts: pa.Array, most_bytes: int = 8 << 20):
     """Ranges ``(a, b)`` of rows with about ``most_bytes`` of text each; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)

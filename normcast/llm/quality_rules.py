@@ -79,6 +79,7 @@ def trusted_ids(labels: DataFrame, most: int) -> DataFrame:
 def fit(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str, buckets: int, smoothing: float) -> DataFrame:
     """``(bucket, weight)``: log P(bucket | trusted) - log P(bucket | corpus) in units of 2 ** -20.
 
+    Corpus counts are scaled to the trusted ones' size before both are smoothed, so what is rare in both weighs nothing.
     Corpus counts cover every row of ``docs``. ``trusted`` (column ``doc_id``) is bounded by its
     maker and is broadcast; the result has ``buckets`` rows at most.
     """
@@ -87,8 +88,8 @@ def fit(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str, buck
     grams = rows.select(F.explode(gram_buckets(F.col("w"), buckets)).alias("bucket"), F.coalesce("__one", F.lit(0)).alias("t"))
     counts = grams.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("c"))
     counts = written(counts, "grams")
-    every = counts.agg(F.sum("t").alias("all_t"), F.sum("c").alias("all_c"))
-    ratio = F.log((F.col("t") + smoothing) / (F.col("all_t") + smoothing * buckets)) - F.log((F.col("c") + smoothing) / (F.col("all_c") + smoothing * buckets))
+    every = counts.agg((F.sum("t") / F.sum("c")).alias("scale"))
+    ratio = F.log((F.col("t") + smoothing) / (F.col("c") * F.col("scale") + smoothing))
     return written(counts.crossJoin(F.broadcast(every)).select("bucket", F.round(ratio * UNIT).cast("long").alias("weight")), "weights")
 
 
@@ -99,7 +100,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     A row is kept if the base rules pass and its mean weight by gram is ``threshold`` or more. The
     trusted model is fitted on at most ``trusted_rows`` labelled documents, those with the smallest
     hash of their id; the corpus model on all rows. Nulls in labels and unknown ids teach nothing;
-    without any trusted row weights are 0 but for smoothing. Null, empty and blank texts have no
+    without any trusted row all weights are 0. Null, empty and blank texts have no
     words and fail the base rules. Repeated rows and ids are each judged. An empty table gives no
     row. Other columns are ignored.
     """

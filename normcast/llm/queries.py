@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from normcast.llm.harmonic_packing import pack
 from normcast.llm.hash_mixing import mix
+from normcast.llm.importance_resampling import resample
 from normcast.llm.prefix_sharding import shards
 from normcast.llm.quality_rules import judge
 from normcast.llm.scratch import new_path
@@ -42,6 +43,11 @@ def op6_prefix_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select(F.col("id").alias("doc_id"), "log_weight", "key", "kept")
+
+
 def op9_hash_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -52,7 +58,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op4_harmonic_packing, op5_quality_rules, op6_prefix_sharding, op9_hash_mixing, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op2_token_files, op4_harmonic_packing, op5_quality_rules, op6_prefix_sharding, op7_importance_resampling, op9_hash_mixing, op10_simhash_dedup)}
 
 
 #: Sources, caps and budgets as a recursion over sources in order of cap / weight; rows by running sums over their hash.
