@@ -50,7 +50,7 @@ def target_ids(labels: DataFrame, most: int) -> list:
     return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, target_rows: int = 20_000, smoothing: float = 1.0, lenience: float = 0.08) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, target_rows: int = 20_000, smoothing: float = 20.0, lenience: float = 0.08) -> np.ndarray:
     """Weights by bucket. Raw counts cover every row of ``docs``; the target's are those of at most
     ``target_rows`` labelled rows. ``lenience`` is added to each n-gram's log ratio: the raw text holds
     the target too, and copies that it has more of than the target do not count against a document. What returns to the driver is one row for each bucket."""
@@ -122,7 +122,7 @@ def expected_targets(rows: DataFrame, prior: float) -> int:
     return int(rows.agg(F.coalesce(F.round(F.sum(sigmoid)), F.lit(0.0))).first()[0])
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, prior: float = 0.99, buckets: int = 1 << 16, target_rows: int = 20_000, smoothing: float = 1.0, lenience: float = 0.08, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, prior: float = 0.99, buckets: int = 1 << 16, target_rows: int = 20_000, smoothing: float = 20.0, lenience: float = 0.08, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(id, log_weight, key, kept)`` of every row, and the columns named in ``carry``.
 
     ``key`` is the log weight with Gumbel noise, both in units of 2 ** -20; ``kept`` marks the ``k``

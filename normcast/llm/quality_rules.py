@@ -93,7 +93,7 @@ def fit(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str, buck
     return written(counts.crossJoin(F.broadcast(every)).select("bucket", F.round(ratio * UNIT).cast("long").alias("weight")), "weights")
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, smoothing: float = 1.0, trusted_rows: int = 20_000, threshold: float = -0.15) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, smoothing: float = 20.0, trusted_rows: int = 20_000, threshold: float = -0.15) -> DataFrame:
     """Features and verdict of every row: ``id``, ``n_words``, the base features, ``base_failed``,
     ``n_grams``, ``ratio`` (sum of weights, units of 2 ** -20) and ``kept``.
 

@@ -14,6 +14,7 @@ from normcast.llm.importance_resampling import resample
 from normcast.llm.prefix_sharding import shards
 from normcast.llm.quality_rules import judge
 from normcast.llm.scratch import new_path
+from normcast.llm.segment_langid import identify
 from normcast.llm.simhash_dedup import near_duplicates
 from normcast.llm.token_files import read_documents, write_token_files
 
@@ -48,6 +49,11 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "log_weight", "key", "kept")
 
 
+def op8_segment_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
 def op9_hash_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -58,7 +64,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op4_harmonic_packing, op5_quality_rules, op6_prefix_sharding, op7_importance_resampling, op9_hash_mixing, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op2_token_files, op4_harmonic_packing, op5_quality_rules, op6_prefix_sharding, op7_importance_resampling, op8_segment_langid, op9_hash_mixing, op10_simhash_dedup)}
 
 
 #: Sources, caps and budgets as a recursion over sources in order of cap / weight; rows by running sums over their hash.
