@@ -17,18 +17,32 @@ from normcast.llm.scratch import new_path
 from normcast.llm.segment_langid import identify
 from normcast.llm.simhash_dedup import near_duplicates
 from normcast.llm.token_files import read_documents, write_token_files
+from normcast.llm.topk_search import top_k
+from normcast.llm.url_filter import judge as judge_urls
+
+#: Rules of hosts and paths, with their verdicts.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     parts = write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_documents(spark, folder, parts).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judge_urls(table(spark, sf_dir, "pages"), URL_RULES, public_tokenizers.path("word_bpe_49k.json"))
+    return rows.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=1024)
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -64,9 +78,25 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op4_harmonic_packing, op5_quality_rules, op6_prefix_sharding, op7_importance_resampling, op8_segment_langid, op9_hash_mixing, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_topk_search, op2_token_files, op3_url_filter, op4_harmonic_packing, op5_quality_rules, op6_prefix_sharding, op7_importance_resampling, op8_segment_langid, op9_hash_mixing, op10_simhash_dedup)}
 
 
+#: Every pair of a query and another row.
+OP1 = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, max(list_inner_product(q.v, c.v))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  GROUP BY ALL
+), r AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 #: Sources, caps and budgets as a recursion over sources in order of cap / weight; rows by running sums over their hash.
 OP9 = """
 WITH d AS (
@@ -103,4 +133,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_hash_mixing": OP9}
+    return {"op1_topk_search": OP1, "op9_hash_mixing": OP9}

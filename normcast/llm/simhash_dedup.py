@@ -170,11 +170,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(classes(rows, differing), "fp").select("id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, differing: int = 3) -> DataFrame:
+    """One row of each component of near-duplicates, all its columns: that with the smallest id (null last),
+    of rows that share it the first read. Rows are told apart by a number of their own, so repeated rows leave one.
+    """
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col(id_col).alias("id"), fingerprints(F.col(text_col), width, seed).alias("fp"))
+    rows = written(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    slim = rows.select("id", "fp", "number")
+    first = slim.join(classes(slim, differing), "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "number")).alias("x"))
+    return rows.join(first.select("x.number"), "number", "left_semi").select("__row.*")
+
+
 def classes(rows: DataFrame, differing: int = 3) -> DataFrame:
-    """``(fp, component_id)`` for each distinct ``fp`` of rows ``(id, fp)``."""
+    """``(fp, root, component_id)`` for each distinct ``fp`` of rows ``(id, fp)``; the root is its component's own key."""
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
     roots = written(components(near_links(nodes, differing)), "roots")
     linked = nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "rep")
     named = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    members = written(linked.join(named, "root").select(F.col("fp").alias("node"), "component_id", F.lit(True).alias("grouped")), "members")
-    return nodes.join(members, F.col("fp") == F.col("node"), "left").select("fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
+    members = written(linked.join(named, "root").select(F.col("fp").alias("node"), "root", "component_id"), "members")
+    alone = F.col("root").isNull()
+    return nodes.join(members, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
