@@ -55,16 +55,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     ``target_rows`` labelled rows. ``lenience`` is added to each n-gram's log ratio: the raw text holds
     the target too, and copies that it has more of than the target do not count against a document. What returns to the driver is one row for each bucket."""
     spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(np.array(sorted(target_ids(labels, target_rows))))
+    wanted = spark.sparkContext.broadcast(frozenset(target_ids(labels, target_rows)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, buckets), np.int64)
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids = b.column(0).to_pylist()
             for lo, hi in in_slices(b.column(1)):
                 owner, grams = hashed_grams(b.column(1).slice(lo, hi - lo), buckets)
                 sums[1] += np.bincount(grams, minlength=buckets)
-                chosen = np.isin(ids[lo:hi], wanted.value)
+                chosen = np.fromiter((i in wanted.value for i in ids[lo:hi]), bool, hi - lo)
                 sums[0] += np.bincount(grams[chosen[owner]], minlength=buckets)
         at = np.flatnonzero(sums[1])
         yield pa.RecordBatch.from_pydict({"bucket": at, "t": sums[0][at], "c": sums[1][at]})

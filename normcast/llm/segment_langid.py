@@ -162,7 +162,7 @@ def fit(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: s
 
     got = rows.groupBy("l").applyInPandas(one, "l string, p array<double>").collect()
     got.sort(key=lambda r: r["l"])
-    return [r["l"] for r in got], np.array([r["p"] for r in got]).reshape(len(got), -1).T
+    return [r["l"] for r in got], np.array([r["p"] for r in got]).T
 
 
 def predictions(text: F.Column, languages: list[str], probabilities: np.ndarray, vocabulary: str, keep: int = 400_000) -> F.Column:

@@ -39,7 +39,7 @@ def path_of(url: F.Column) -> F.Column:
 
 def rule_of(host: F.Column, path: F.Column, rules: Sequence[tuple[str, str]]) -> F.Column:
     """``struct(rule, verdict)`` of the longest fitting rule, else null. A rule is ``(verdict, "host/path")``."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, rule in sorted(rules, key=lambda r: len(r[1])):
         own, _, start = rule.partition("/")
         fits = ((host == own) | host.endswith("." + own)) & path.startswith("/" + start)
