@@ -19,16 +19,18 @@ from normcast.llm.scratch import shuffle_width, written
 
 #: Slack of float comparisons; pruning is never tighter than exact arithmetic.
 _SLACK = 1e-9
+#: The largest score that a double and a long both hold.
+_MOST = float(2**63 - 1024)
 _CANDIDATES = "part int, dim int, ids binary, vectors binary"
 _FOUND = "query_id long, vec_id long, score long"
 
 
 def packed(ids: np.ndarray, vectors: np.ndarray) -> dict:
-    return {"dim": vectors.shape[1], "ids": ids.astype("<i8").tobytes(), "vectors": vectors.astype("<i4").tobytes()}
+    return {"dim": vectors.shape[1], "ids": ids.astype("<i8").tobytes(), "vectors": vectors.astype("<f8").tobytes()}
 
 
 def unpacked(dim: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i4").reshape(-1, dim).astype(np.float64)
+    return np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, dim)
 
 
 class Best:
@@ -87,12 +89,12 @@ def search_bucket(best: Best, q_ids: np.ndarray, q: np.ndarray, q_len: np.ndarra
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``(vec_id, v, norm2)`` with v = floor(scale * x); without ids, or with null or non-finite components, none."""
+    """``(vec_id, v, norm2)`` with v = floor(scale * x), whole numbers as doubles; without ids, or with null or non-finite components, none."""
     x = F.col(vector_col)
     sound = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    v = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("int"))
+    v = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("double"))
     out = rows.filter(sound).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    return out.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e.cast("long") * e.cast("long")))
+    return out.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))
 
 
 def top_k(rows: DataFrame, is_query: F.Column, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block: int = 16_384, bucket: int = 1_024, high: float = 0.8, focus: int = 4) -> DataFrame:
@@ -102,7 +104,8 @@ def top_k(rows: DataFrame, is_query: F.Column, k: int, *, id_col: str = "vec_id"
     id. Vectors of other lengths than the query's have no product with it. Null vectors, vectors
     with null or non-finite components, and null ids take no part. Exactly repeated rows count once;
     rows of one id with different vectors are candidates each, and their queries share one ranking.
-    Fewer than ``k`` candidates give fewer rows; an empty table none. Other columns are ignored.
+    Fewer than ``k`` candidates give fewer rows; an empty table none. Scores are exact while the sum of
+    their terms' magnitudes is under 2 ** 53, rounded to a double beyond, and end at the range of a long. Other columns are ignored.
 
     Candidates are ranged by length over partitions once and written as packed buckets. Queries come
     to the driver ``block`` at a time (``block`` vectors bound what it holds and broadcasts) and each
@@ -117,7 +120,7 @@ def top_k(rows: DataFrame, is_query: F.Column, k: int, *, id_col: str = "vec_id"
         last, held_ids, held = None, [], []
 
         def flushed():
-            out = packed(np.array(held_ids, np.int64), np.array(held, np.int32).reshape(len(held), -1))
+            out = packed(np.array(held_ids, np.int64), np.array(held, float).reshape(len(held), -1))
             held_ids.clear(), held.clear()
             return pa.RecordBatch.from_pylist([{"part": 0, **out}], pa.schema([("part", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
 
@@ -152,11 +155,10 @@ def top_k(rows: DataFrame, is_query: F.Column, k: int, *, id_col: str = "vec_id"
         return out
 
     def against(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        shared = sc.broadcast((ids, q.astype(np.int32), floors(ids, q)))
+        shared = sc.broadcast((ids, q, floors(ids, q)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_ids, q, floor = shared.value
-            q = q.astype(np.float64)
             q_len, best = np.sqrt((q * q).sum(axis=1)), Best(len(q), k)
             for b in batches:
                 for dim, c_ids, c in zip(*(b.column(n).to_pylist() for n in ("dim", "ids", "vectors"))):
@@ -164,7 +166,7 @@ def top_k(rows: DataFrame, is_query: F.Column, k: int, *, id_col: str = "vec_id"
                         c_ids, c = unpacked(dim, c_ids, c)
                         search_bucket(best, q_ids, q, q_len, floor, c_ids, c, np.sqrt((c * c).sum(axis=1)), high, focus)
             row, col = np.nonzero(best.scores > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(best.ids[row, col]), pa.array(best.scores[row, col].astype(np.int64))], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(best.ids[row, col]), pa.array(np.clip(best.scores[row, col], -_MOST, _MOST).astype(np.int64))], ["query_id", "vec_id", "score"])
 
         return written(buckets.mapInArrow(run, _FOUND), "found")
 
@@ -173,8 +175,8 @@ def top_k(rows: DataFrame, is_query: F.Column, k: int, *, id_col: str = "vec_id"
         held.setdefault(len(r["v"]), []).append((r["vec_id"], r["v"]))
         if len(held[len(r["v"])]) == block:
             ids, vs = zip(*held.pop(len(r["v"])))
-            found.append(against(np.array(ids), np.array(vs)))
-    found += [against(np.array([i for i, _ in x]), np.array([v for _, v in x]).reshape(len(x), -1)) for x in held.values()]
+            found.append(against(np.array(ids), np.array(vs, float)))
+    found += [against(np.array([i for i, _ in x]), np.array([v for _, v in x], float).reshape(len(x), -1)) for x in held.values()]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     every = spark.read.schema(found[0].schema).parquet(*[f.scratch_path for f in found])

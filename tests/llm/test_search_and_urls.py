@@ -38,6 +38,12 @@ def test_top_k_equals_brute_force(spark, lengths, spread):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == brute([(i, v) for i, v in rows], 4)
 
 
+def test_huge_components_do_not_fail(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [-3e7, 0.0]), (5, [1e5, -2e5])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(df, F.col("vec_id") % 5 == 0, 2).collect()}
+    assert got[0, 1][0] == 1 and got[0, 1][1] > 9e18 and got[5, 1][0] in (0, 1) and len(got) == 4
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k(df, F.col("vec_id") % 5 == 0, 4).count() == 0
