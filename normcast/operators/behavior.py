@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normcast.functions.scalar import ratio
+from normcast.operators.ordered import running_totals
 
 
 def _past(account: str, time: str, id_: str):
@@ -69,14 +70,18 @@ def timeline(df: DataFrame, account: str, time: str, id_: str, amount: str, last
     )
 
 
-def attention_rank(df: DataFrame, score: str, id_: str, tiers: int = 4) -> DataFrame:
-    """Rank of every row by score, and its tier. Ranks come from distinct scores' counts, not from one sorted task of rows."""
+def attention_rank(df: DataFrame, score: str, tiers: int = 4) -> DataFrame:
+    """Rank of every row by score, highest first and ties alike, and its tier; missing scores rank last.
+
+    Distinct scores are counted and their counts summed in ranges, so no task sees all of them.
+    """
     counts = df.groupBy(score).agg(F.count("*").alias("__n"))
-    w = Window.orderBy(F.col(score).desc_nulls_last())
-    ranked = counts.withColumn("attention_rank", F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).withColumn("__all", F.sum("__n").over(Window.partitionBy()))
-    own = ranked.select(F.col(score).alias("__s"), "attention_rank", "__all")
-    out = df.join(own, F.col(score).eqNullSafe(F.col("__s")))
-    return out.withColumn("tier", (F.floor((F.col("attention_rank") - 1) * tiers / F.col("__all")) + 1).cast("int")).drop("__s", "__all")
+    known = running_totals(counts.filter(F.col(score).isNotNull()), score, {"__upto": "__n"})
+    total = counts.agg(F.sum("__n").alias("__all"), F.sum(F.when(F.col(score).isNotNull(), F.col("__n"))).alias("__known"))
+    own = known.select(F.col(score).alias("__s"), (F.col("__upto") - F.col("__n") + 1).alias("__rank"))
+    out = df.join(own, F.col(score) == F.col("__s"), "left").crossJoin(F.broadcast(total))
+    rank = F.coalesce(F.col("__rank"), F.coalesce(F.col("__known"), F.lit(0)) + 1)
+    return out.withColumn("attention_rank", rank).withColumn("tier", (F.floor((F.col("attention_rank") - 1) * tiers / F.col("__all")) + 1).cast("int")).drop("__s", "__all", "__known", "__rank")
 
 
 def as_of(rows: DataFrame, facts: DataFrame, account: str, time: str, columns: Sequence[str], prefix: str = "asof_") -> DataFrame:

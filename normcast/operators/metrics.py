@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normcast.functions.scalar import ratio
+from normcast.operators.ordered import running_totals
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -38,10 +39,9 @@ def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def threshold_curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """By distinct score from the highest: true and false positives at or over it. Rows are as many as distinct scores."""
-    by = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return by.select("threshold", "p", "n", F.sum("p").over(w).alias("tp"), F.sum(F.col("n") - F.col("p")).over(w).alias("fp"))
+    """By distinct score from the highest: true and false positives at or over it. Rows are as many as distinct scores; scores are not null."""
+    by = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n"))
+    return running_totals(by.withColumn("q", F.col("n") - F.col("p")), "threshold", {"tp": "p", "fp": "q"}).select("threshold", "p", "n", "tp", "fp")
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normcast.functions.scalar import salted_rank_key
+from normcast.operators.ordered import among_first
 from normcast.operators.quality import ContractError, require_columns
 
 #: Rows up to which one task may rank them all.
 ONE_TASK = 1_000_000
-_BITS = 16
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
 
@@ -48,37 +47,12 @@ def cut_points(n: int, train: float, validation: float) -> tuple[int, int]:
     return int(n * train), int(n * (train + validation))
 
 
-def _as_long(df: DataFrame, name: str) -> Column:
+def _comparable(df: DataFrame, name: str) -> Column:
     kind = dict(df.dtypes)[name]
     x = F.col(name)
     if kind.startswith("timestamp"):
         return F.unix_micros(x.cast("timestamp"))
-    if kind in ("double", "float"):
-        # order-preserving whole numbers of the bits would need a UDF; exact for what fits 2 ** -20
-        return F.when(~F.isnan(x), F.floor(x.cast("double") * (1 << 20))).cast("long")
-    return x.cast("long")
-
-
-def kth_smallest(df: DataFrame, key: str, k: int) -> tuple[int, int]:
-    """The k-th smallest (from 0) of a long column without nulls, and the number of smaller rows.
-
-    Histograms over ``_BITS`` bits at a time, refined in the boundary bucket: no sort, and the
-    driver gets at most 2 ** 16 rows a round.
-    """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    shift = max(1, (high - low).bit_length())
-    before, prefix = 0, 0
-    while shift > 0:
-        down = max(0, shift - _BITS)
-        x = F.col(key) - F.lit(low)
-        counts = df.filter(F.shiftright(x, shift) == prefix).groupBy(F.shiftright(x, down).alias("b")).count().orderBy("b").collect()
-        for b, n in counts:
-            if before + n > k:
-                prefix = b
-                break
-            before += n
-        shift = down
-    return prefix + low, before
+    return F.when(~F.isnan(x), x) if kind in ("double", "float") else x
 
 
 def _ranked_label(df: DataFrame, time_col: str, id_col: str, a: int, b: int) -> DataFrame:
@@ -87,21 +61,12 @@ def _ranked_label(df: DataFrame, time_col: str, id_col: str, a: int, b: int) ->
 
 
 def _cut_label(df: DataFrame, time_col: str, id_col: str, a: int, b: int) -> DataFrame:
-    keyed = df.withColumn("__t", _as_long(df, time_col)).withColumn("__i", _as_long(df, id_col))
+    keyed = df.withColumn("__t", _comparable(df, time_col)).withColumn("__i", _comparable(df, id_col))
     timed = keyed.filter(F.col("__t").isNotNull()).select("__t", "__i")
-    n = timed.count()
-
-    def upto(k: int) -> Column:
-        """Whether a row is among the first k."""
-        if k <= 0:
-            return F.lit(False)
-        if k > n:
-            raise ContractError("a cut lies among rows without time")
-        t, before = kth_smallest(timed, "__t", k - 1)
-        i, _ = kth_smallest(timed.filter(F.col("__t") == t), "__i", k - 1 - before)
-        return F.coalesce((F.col("__t") < t) | ((F.col("__t") == t) & (F.col("__i") <= i)), F.lit(False))
-
-    return keyed.withColumn("split", F.when(upto(a), TRAIN).when(upto(b), VALIDATION).otherwise(TEST)).drop("__t", "__i")
+    if timed.count() < b:
+        raise ContractError("a cut lies among rows without time")
+    first, second = (among_first(timed, ["__t", "__i"], k) for k in (a, b))
+    return keyed.withColumn("split", F.when(first, TRAIN).when(second, VALIDATION).otherwise(TEST)).drop("__t", "__i")
 
 
 def temporal_split(df: DataFrame, time_col: str, id_col: str, train: float = 0.70, validation: float = 0.15, one_task: int = ONE_TASK) -> Split:
@@ -139,12 +104,13 @@ def normal_rows(df: DataFrame, label: Column) -> DataFrame:
     return df.filter(label == 0)
 
 
-def held_out_normals_with_anomalies(df: DataFrame, label: Column, order: Sequence[str], first: int) -> tuple[DataFrame, DataFrame]:
-    """Train: the first normal rows; test: the later normal rows and all anomalies. No row is in both."""
-    rank = F.row_number().over(Window.orderBy(*order))
-    normals = normal_rows(df, label).withColumn("__r", rank)
-    train = normals.filter(F.col("__r") <= first).drop("__r")
-    return train, normals.filter(F.col("__r") > first).drop("__r").unionByName(df.filter(label == 1))
+def held_out_normals_with_anomalies(df: DataFrame, label: Column, time_col: str, id_col: str, first: int) -> tuple[DataFrame, DataFrame]:
+    """Train: the first normal rows by time, then id; test: the later normal rows and all anomalies. No row is in both."""
+    keyed = df.withColumn("__t", _comparable(df, time_col)).withColumn("__i", _comparable(df, id_col))
+    normals = normal_rows(keyed, label)
+    timed = normals.filter(F.col("__t").isNotNull())
+    early = among_first(timed.select("__t", "__i"), ["__t", "__i"], min(first, timed.count()))
+    return normals.filter(early).drop("__t", "__i"), normals.filter(~early).drop("__t", "__i").unionByName(df.filter(label == 1))
 
 
 def overlap(a: DataFrame, b: DataFrame, id_col: str) -> DataFrame:

@@ -189,7 +189,7 @@ def q_hash_split(spark, d):
 
 @query
 def q_recombined_test(spark, d):
-    train, test = L.held_out_normals_with_anomalies(events(spark, d).select("event_id", "ts", "y"), F.col("y"), ["ts", "event_id"], 2000)
+    train, test = L.held_out_normals_with_anomalies(events(spark, d).select("event_id", "ts", "y"), F.col("y"), "ts", "event_id", 2000)
     named = [x.groupBy("y").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).withColumn("side", F.lit(n)) for x, n in ((train, "train"), (test, "test"))]
     return named[0].unionByName(named[1])
 
@@ -248,7 +248,7 @@ def q_timeline(spark, d):
 
 @query
 def q_attention_rank(spark, d):
-    return B.attention_rank(events(spark, d).select("event_id", "value"), "value", "event_id").select("event_id", "attention_rank", "tier")
+    return B.attention_rank(events(spark, d).select("event_id", "value"), "value").select("event_id", "attention_rank", "tier")
 
 
 @query

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from normcast.operators import splitting as L
+from normcast.operators.ordered import kth_smallest, running_totals
 from normcast.operators.quality import ContractError, check_contract, cleaned, conforms, quarantine
 from normcast.operators.transforms import build_features, feature_columns, impute_random, minmax_scale, standard_scale
 from normcast.sources import tables as T
@@ -75,6 +76,24 @@ def test_histogram_cuts_equal_ranks(spark, times):
     assert one == two
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.floats(allow_nan=False, allow_infinity=False), st.integers(-(2**62), 2**62).map(float)), min_size=1, max_size=30), st.data())
+def test_kth_smallest_is_exact(spark, values, data):
+    k = data.draw(st.integers(0, len(values) - 1))
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    want = sorted(values)[k]
+    assert kth_smallest(df, "x", k) == (want, sum(v < want for v in values))
+
+
+def test_running_totals_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).cast("double").alias("x"), (F.col("id") % 5).alias("v"))
+    rows = sorted(running_totals(df, "x", {"t": "v"}, buckets=9).collect(), reverse=True)
+    at = 0
+    for r in rows:
+        at += r["v"]
+        assert r["t"] == at
+
+
 def test_histogram_cuts_on_real_events(spark, small):
     e = spark.read.parquet(f"{small}/events.parquet").select("event_id", "ts")
     a = L.temporal_split(e, "ts", "event_id").rows
