@@ -130,7 +130,7 @@ def whole(texts: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(empty, pc.fill_null(texts.cast(pa.large_string()), ""), empty)
 
 
-def in_slices(texts: pa.Array, most_bytes: int = 8 << 20):
+def in_slices(texts: pa.Array, most_bytes: int = 4 << 20):
     """Ranges ``(a, b)`` of rows with about ``most_bytes`` of text each; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     which = (np.cumsum(sizes) - sizes) // most_bytes

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from normcast.llm.encoding import Encoder, in_slices
+from normcast.llm.scratch import small_batches
 
 _PIECES = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("tokens", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -85,6 +86,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     come: repeated ids and repeated rows are packed as often as they occur, null ids are kept.
     An empty table gives no row. Other columns of ``docs`` are ignored.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), *(T.StructField(n, T.BinaryType() if n == "tokens" else T.LongType()) for n in _PIECES.names)])
 

@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normcast.llm.encoding import in_slices, whole
-from normcast.llm.scratch import written
+from normcast.llm.scratch import small_batches, written
 
 #: Keys are whole numbers of 2 ** -20, so sums and comparisons are exact.
 UNIT = 1 << 20
+#: Bytes of text whose n-grams are in memory at once, some 40 bytes for each byte.
+_SLICE = 2 << 20
 
 
 def hashed_grams(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,13 +57,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     ``target_rows`` labelled rows. ``lenience`` is added to each n-gram's log ratio: the raw text holds
     the target too, and copies that it has more of than the target do not count against a document. What returns to the driver is one row for each bucket."""
     spark = docs.sparkSession
+    small_batches(spark)
     wanted = spark.sparkContext.broadcast(frozenset(target_ids(labels, target_rows)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, buckets), np.int64)
         for b in batches:
             ids = b.column(0).to_pylist()
-            for lo, hi in in_slices(b.column(1)):
+            for lo, hi in in_slices(b.column(1), _SLICE):
                 owner, grams = hashed_grams(b.column(1).slice(lo, hi - lo), buckets)
                 sums[1] += np.bincount(grams, minlength=buckets)
                 chosen = np.fromiter((i in wanted.value for i in ids[lo:hi]), bool, hi - lo)
@@ -85,7 +88,7 @@ def log_weights(text: F.Column, weights: np.ndarray) -> F.Column:
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out = np.zeros(len(texts), np.int64)
-            for lo, hi in in_slices(texts):
+            for lo, hi in in_slices(texts, _SLICE):
                 owner, grams = hashed_grams(texts.slice(lo, hi - lo), len(weights))
                 np.add.at(out, owner + lo, weights[grams])
             yield pa.array(out)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from normcast.llm.encoding import in_slices, whole
+from normcast.llm.scratch import small_batches
 
 UNDETERMINED = "und"
 _MARK = "▁"
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: s
     return [r["l"] for r in got], np.array([r["p"] for r in got]).T
 
 
-def predictions(text: F.Column, languages: list[str], probabilities: np.ndarray, vocabulary: str, keep: int = 400_000) -> F.Column:
+def predictions(text: F.Column, languages: list[str], probabilities: np.ndarray, vocabulary: str, keep: int = 300_000) -> F.Column:
     """``struct(lang, score)`` of a string column. The score is the language's posterior under equal priors.
 
     Log probabilities of a word are kept; when over ``keep`` are, all are let go and found again as needed.
@@ -205,7 +206,7 @@ def predictions(text: F.Column, languages: list[str], probabilities: np.ndarray,
 
         for texts in batches:
             if languages:
-                found = [x for lo, hi in in_slices(texts) for x in judged(texts.slice(lo, hi - lo))]
+                found = [x for lo, hi in in_slices(texts, 2 << 20) for x in judged(texts.slice(lo, hi - lo))]
             else:
                 found = [(UNDETERMINED, 0.0)] * len(texts)
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
@@ -221,6 +222,7 @@ def identify(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_c
     the learned languages gets a posterior near an equal share. Repeated rows are each predicted;
     ties go to the first language by name. An empty table gives no row.
     """
+    small_batches(docs.sparkSession)
     languages, p = fit(docs, vocabulary, id_col=id_col, text_col=text_col, lang_col=lang_col, **fitting)
     rows = docs.select(F.col(id_col).alias("id"), *carry, held_out(F.col(id_col)).alias("held_out"), predictions(F.col(text_col), languages, p, vocabulary).alias("__found"))
     return rows.select("id", *carry, "held_out", F.col("__found.lang").alias("lang_pred"), F.col("__found.score").alias("score"))

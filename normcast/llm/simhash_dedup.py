@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normcast.llm.scratch import dropped, shuffle_width, written
+from normcast.llm.scratch import dropped, shuffle_width, small_batches, written
 
 #: Shingles whose bits are counted at once.
 _STEP = 1 << 16
@@ -166,6 +166,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component's smallest, which is null only if all its ids are. An empty table gives no row. Other
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = written(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), width, seed).alias("fp")), "fingerprints")
     return rows.join(classes(rows, differing), "fp").select("id", "fp", "component_id")
 
@@ -174,6 +175,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row of each component of near-duplicates, all its columns: that with the smallest id (null last),
     of rows that share it the first read. Rows are told apart by a number of their own, so repeated rows leave one.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col(id_col).alias("id"), fingerprints(F.col(text_col), width, seed).alias("fp"))
     rows = written(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
     slim = rows.select("id", "fp", "number")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from normcast.llm.encoding import Encoder, in_slices
-from normcast.llm.scratch import shuffle_width
+from normcast.llm.scratch import shuffle_width, small_batches
 
 _WRITTEN = "part long, n_docs long, n_tokens long"
 
@@ -95,6 +95,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
     writes under a name of its own attempt and renames at its end, so a repeated task replaces its
     file by an equal one.
     """
+    small_batches(docs.sparkSession)
     parts = parts or shuffle_width(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
