@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normcast.llm.encoding import in_slices, whole
-from normcast.llm.scratch import small_batches, written
+from normcast.llm.scratch import hash_sample, small_batches, written
 
 #: Keys are whole numbers of 2 ** -20, so sums and comparisons are exact.
 UNIT = 1 << 20
@@ -49,7 +49,7 @@ def hashed_grams(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]
 def target_ids(labels: DataFrame, most: int) -> list:
     """Ids of good, non-toxic labelled documents: all, or the ``most`` (a bound on the driver) with the smallest hash."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    return [r[0] for r in hash_sample(good, most).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, target_rows: int = 20_000, smoothing: float = 20.0, lenience: float = 0.08) -> np.ndarray:

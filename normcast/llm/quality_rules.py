@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normcast.llm.scratch import written
+from normcast.llm.scratch import hash_sample, written
 
 WHITE = "[\\x20\\x09-\\x0D]+"
 #: Weights are kept as integers in units of 2 ** -20, so sums do not depend on their order.
@@ -73,7 +73,7 @@ def gram_buckets(w: F.Column, buckets: int) -> F.Column:
 def trusted_ids(labels: DataFrame, most: int) -> DataFrame:
     """Ids of good, non-toxic labelled documents: all, or the ``most`` with the smallest hash."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return hash_sample(good, most)
 
 
 def fit(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str, buckets: int, smoothing: float) -> DataFrame:

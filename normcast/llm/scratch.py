@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -59,3 +60,16 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+
+
+def hash_sample(ids: DataFrame, most: int) -> DataFrame:
+    """Of distinct ids (one column) all, or the ``most`` with the smallest hash.
+
+    A count sets a hash limit that about twice as many pass, so the sort sees few rows however many
+    partitions there are. In the unheard-of case that under ``most`` pass, these are the sample.
+    """
+    name, n = ids.columns[0], ids.count()
+    h = F.pmod(F.xxhash64(name), F.lit(1 << 32))
+    if n > 2 * most:
+        ids = ids.filter(h < (1 << 33) * most // n)
+    return ids.orderBy(h, name).limit(most)

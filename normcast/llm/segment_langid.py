@@ -152,8 +152,12 @@ def fit(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: s
     texts; only the chosen ids are broadcast, and each language is fitted by a task of its own.
     """
     eligible = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
-    chosen = eligible.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l")).withColumn("r", rank).filter(F.col("r") <= rows_per_language).select("i", "l").distinct()
+    h = F.pmod(F.xxhash64("i"), F.lit(1 << 32))
+    slim = eligible.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
+    # about twice the wanted rows of a language pass its limit, so no task ranks a whole language
+    limits = slim.groupBy(F.col("l").alias("l1")).agg(F.least(F.lit(1.0), 2.0 * rows_per_language / F.count("*")).alias("part"))
+    few = slim.join(F.broadcast(limits), F.col("l") == F.col("l1")).filter(h < F.col("part") * (1 << 32)).select("i", "l").distinct()
+    chosen = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(h, "i"))).filter(F.col("r") <= rows_per_language).select("i", "l")
     rows = eligible.select(F.col(id_col).alias("i0"), F.col(lang_col).alias("l0"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     rows = rows.join(F.broadcast(chosen), (F.col("i0") == F.col("i")) & (F.col("l0") == F.col("l"))).select("l", "text")
 
