@@ -3,6 +3,9 @@
 Each text is a bag of hashed word n-grams (words and pairs of words). Its log weight is the sum of
 log P(bucket | target) - log P(bucket | raw). Adding Gumbel noise and taking the k largest samples k
 documents without replacement in proportion to their weights. The noise is a hash of the id, so reruns agree.
+
+A few insults weigh little in a sum over a whole text, so toxic text is found apart: by the share of words
+that labelled toxic texts hold far more often than other labelled texts. It is never kept.
 """
 
 from __future__ import annotations
@@ -18,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normcast.llm.encoding import in_slices, whole
-from normcast.llm.scratch import hash_sample, small_batches, written
+from normcast.llm.scratch import dropped, hash_sample, small_batches, written
 
 #: Keys are whole numbers of 2 ** -20, so sums and comparisons are exact.
 UNIT = 1 << 20
 #: Bytes of text whose n-grams are in memory at once, some 40 bytes for each byte.
 _SLICE = 2 << 20
+#: A word is toxic where at least so many labelled toxic texts hold it, and a text holds it with this log odds ratio.
+_TOXIC_TEXTS, _TOXIC_RATIO = 3, 3.0
+#: A text is toxic with two toxic words at least, whose ratios come to this for each of its words (of at least 20).
+TOXIC_MEAN = 0.015
 
 
 def hashed_grams(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +88,46 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return np.round((np.log(p[0] / p[1]) + lenience) * UNIT).astype(np.int64)
 
 
+def toxic_words(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = 20_000, most: int = 65_536) -> dict[str, float]:
+    """Log odds ratio of each toxic word, from at most ``rows`` labelled toxic and as many other texts; of
+    the words (runs of letters in lower case) the ``most`` (a bound on the driver) in most toxic texts."""
+    spark = docs.sparkSession
+    marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = {x: hash_sample(marked.filter(F.col("toxic") == x).select("doc_id"), rows) for x in (0, 1)}
+    chosen = F.broadcast(ids[1].select(F.col("doc_id").alias("i"), F.lit(1).alias("x")).union(ids[0].select("doc_id", F.lit(0))))
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(chosen, "i")
+    texts = written(texts.select("x", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("words")).filter("words IS NOT NULL"), "labelled")
+    n = {r[0]: r[1] for r in texts.groupBy("x").count().collect()}
+    counted = texts.select("x", F.explode("words").alias("word")).groupBy("word").agg(F.sum("x").alias("t"), F.sum(1 - F.col("x")).alias("c"))
+    ratio = F.log((F.col("t") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("c") + 0.5) / (n.get(0, 0) + 1))
+    found = counted.filter(F.col("t") >= _TOXIC_TEXTS).withColumn("ratio", ratio).filter(F.col("ratio") > _TOXIC_RATIO)
+    out = {r["word"]: r["ratio"] for r in found.orderBy(F.desc("t"), "word").limit(most).collect()}
+    dropped(texts)
+    return out
+
+
+def is_toxic(text: F.Column, words: dict[str, float]) -> F.Column:
+    """Whether a string column's text holds toxic words enough; nulls do not."""
+    names, ratios = pa.array(list(words), pa.large_string()), np.array([*words.values(), 0.0])
+
+    @F.arrow_udf("boolean")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = np.zeros(len(texts), bool)
+            for lo, hi in in_slices(texts, _SLICE):
+                parts = pc.split_pattern_regex(pc.utf8_lower(whole(texts.slice(lo, hi - lo))), r"[^\pL]+")
+                coded = parts.flatten().dictionary_encode()
+                owner = np.repeat(np.arange(hi - lo), np.diff(parts.offsets.to_numpy()))
+                at = pc.fill_null(pc.index_in(coded.dictionary, names), len(names)).to_numpy()[coded.indices.to_numpy()]
+                real = (pc.binary_length(coded.dictionary).to_numpy() > 0)[coded.indices.to_numpy()]
+                n = np.bincount(owner[real], minlength=hi - lo)
+                hits = np.bincount(owner[at < len(names)], minlength=hi - lo)
+                out[lo:hi] = (hits > 1) & (np.bincount(owner, ratios[at], hi - lo) > TOXIC_MEAN * np.maximum(20, n))
+            yield pa.array(out)
+
+    return judged(text) if words else F.lit(False)
+
+
 def log_weights(text: F.Column, weights: np.ndarray) -> F.Column:
     """The log weight of a string column, in units of 2 ** -20."""
 
@@ -129,7 +176,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """``(id, log_weight, key, kept)`` of every row, and the columns named in ``carry``.
 
     ``key`` is the log weight with Gumbel noise, both in units of 2 ** -20; ``kept`` marks the ``k``
-    largest keys. Without ``k``, it is the number of rows that the models expect to be target text,
+    largest keys of the texts that are not toxic. Without ``k``, it is the number of rows that the models expect to be target text,
     a row's prior odds being ``prior``: rows that are no likelier as target than as raw text then
     fall out, and the noise only moves rows at the margin. Rows with the k-th key all stay.
 
@@ -138,9 +185,11 @@ def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     null or name no row teach nothing. An empty table gives no row.
     """
     weights = fit(docs, labels, id_col=id_col, text_col=text_col, buckets=buckets, target_rows=target_rows, smoothing=smoothing, lenience=lenience)
-    rows = docs.select(F.col(id_col).alias("__id"), *carry, log_weights(F.col(text_col), weights).alias("log_weight"), gumbel(F.col(id_col), F.col(text_col), seed).alias("__noise"))
+    toxic = is_toxic(F.col(text_col), toxic_words(docs, labels, id_col=id_col, text_col=text_col, rows=target_rows))
+    rows = docs.select(F.col(id_col).alias("__id"), *carry, log_weights(F.col(text_col), weights).alias("log_weight"), toxic.alias("__toxic"), gumbel(F.col(id_col), F.col(text_col), seed).alias("__noise"))
     rows = written(rows.withColumn("key", F.col("log_weight") + F.col("__noise")).drop("__noise"), "weights")
-    k = expected_targets(rows, prior) if k is None else k
-    least = top_threshold(rows, "key", k) if k > 0 else None
-    kept = F.lit(False) if least is None else F.col("key") >= F.lit(least)
+    fit_rows = rows.filter(~F.col("__toxic"))
+    k = expected_targets(fit_rows, prior) if k is None else k
+    least = top_threshold(fit_rows, "key", k) if k > 0 else None
+    kept = F.lit(False) if least is None else ~F.col("__toxic") & (F.col("key") >= F.lit(least))
     return rows.select(F.col("__id").alias("id"), *carry, "log_weight", "key", kept.alias("kept"))
