@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from normcast.llm.encoding import Encoder, in_slices
+from normcast.llm.encoding import in_slices, shared_encoder
 from normcast.llm.scratch import small_batches
 
 _PIECES = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("tokens", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     schema = T.StructType([T.StructField(id_col, id_type), *(T.StructField(n, T.BinaryType() if n == "tokens" else T.LongType()) for n in _PIECES.names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         bins = Bins(capacity, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normcast.llm.encoding import Encoder, in_slices
+from normcast.llm.encoding import in_slices, shared_encoder
 from normcast.llm.scratch import shuffle_width, small_batches
 
 _WRITTEN = "part long, n_docs long, n_tokens long"
@@ -83,12 +83,13 @@ class TokenWriter:
             self.store.move(a, b)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, length: int = 1024, batch: int = 512, parts: int | None = None) -> list[tuple[int, int, int]]:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, length: int = 1024, batch: int = 512, parts: int | None = None, part_bytes: int = 256 << 20) -> list[tuple[int, int, int]]:
     """Encode every whole text, end each document with ``end_id`` and write all in ascending order of the id.
 
     ``folder`` is a URI that every machine reaches (``file://`` on shared storage, ``hdfs://``,
     ``s3://``, ...). Returns ``(part, documents, ids)`` of each file in order, one entry for each
-    partition of the range exchange.
+    partition of the range exchange. Without ``parts`` there are as many as the session's shuffle partitions,
+    and more where these would hold over about ``part_bytes`` bytes of text each.
 
     Null ids come first; rows of one id are ordered by their text's hash, then text, and repeated rows are all
     written. Null and empty texts hold the end id alone. An empty table gives no files. A task
@@ -96,7 +97,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
     file by an equal one.
     """
     small_batches(docs.sparkSession)
-    parts = parts or shuffle_width(docs.sparkSession)
+    if parts is None:
+        n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+        parts = max(shuffle_width(docs.sparkSession), -(-n_bytes // part_bytes))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
@@ -106,7 +109,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
             if not b.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer)
+                encoder = shared_encoder(tokenizer)
                 writer = TokenWriter(folder, part, TaskContext.get().taskAttemptId(), encoder.dtype, b.column(0).type, length, batch)
             for lo, hi in in_slices(b.column(1)):
                 bounds, ids = encoder.encode_batch(b.column(1).slice(lo, hi - lo))
@@ -119,7 +122,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
 
 
 class TokenFile:
-    """Random access to one pair of files; sequences of a local file are views of the mapped memory."""
+    """Random access to one pair of files; sequences of a local file are views of the mapped memory. A remote
+    one is read into memory: to go through it once, use ``read_documents``, which holds a batch at a time."""
 
     def __init__(self, folder: str, part: int):
         store, root = fs.FileSystem.from_uri(folder)
@@ -154,26 +158,48 @@ class TokenFile:
         return out[0] if len(out) == 1 else np.concatenate(out or [np.zeros(0, "<u2")])
 
 
+class _Ids:
+    """The real ids of a token stream in order, one batch in memory at a time."""
+
+    def __init__(self, stream: pa.RecordBatchReader):
+        self.stream, self.ids = stream, np.zeros(0, "<u2")
+
+    def next(self, n: int) -> np.ndarray:
+        out = []
+        while n:
+            if not len(self.ids):
+                self.ids = self.stream.read_next_batch().column("input_ids").flatten().to_numpy()
+            out.append(self.ids[:n])
+            n, self.ids = n - len(out[-1]), self.ids[n:]
+        return out[0] if len(out) == 1 else np.concatenate(out or [np.zeros(0, "<u2")])
+
+
 def read_documents(spark: SparkSession, folder: str, parts: list[tuple[int, int, int]], id_type: T.DataType = T.LongType()) -> DataFrame:
     """Documents as the files hold them: ``doc_id``, ``start`` (ids of all documents before it, over all
-    files), ``n_tokens`` and ``tokens`` (packed little-endian unsigned 32-bit integers)."""
+    files), ``n_tokens`` and ``tokens`` (packed little-endian unsigned 32-bit integers).
+
+    A task reads its pairs of streams once, batch by batch; local ones as views of mapped memory."""
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.BinaryType())])
     before = accumulate((n for _, _, n in parts), initial=0)
     files = spark.createDataFrame([(p, b) for (p, _, _), b in zip(parts, before)], "part long, base long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        local = isinstance(store, fs.LocalFileSystem)
         for b in batches:
             for part, base in zip(*(c.to_pylist() for c in b.columns)):
-                file = TokenFile(folder, part)
-                for some in file.index.to_batches(max_chunksize=1000):
-                    starts, sizes = some.column(1).to_numpy(), some.column(2).to_numpy()
-                    held: list[bytes] = []
-                    first = 0
-                    for k, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist())):
-                        held.append(file.tokens(s, n).astype("<u4").tobytes())
-                        if k + 1 == len(sizes) or sum(map(len, held)) > 16 << 20:
-                            at = slice(first, k + 1)
-                            yield pa.RecordBatch.from_arrays([some.column(0)[at], pa.array(starts[at] + base), pa.array(sizes[at]), pa.array(held, pa.binary())], ["doc_id", "start", "n_tokens", "tokens"])
-                            held, first = [], k + 1
+                tokens, index = (f"{root}/{n}" for n in _names(part))
+                with pa.memory_map(tokens) if local else store.open_input_stream(tokens) as t, store.open_input_stream(index) as s:
+                    ids = _Ids(pa.ipc.open_stream(t))
+                    for some in pa.ipc.open_stream(s):
+                        starts, sizes = some.column(1).to_numpy() + base, some.column(2).to_numpy()
+                        held, first, n_held = [], 0, 0
+                        for k, n in enumerate(sizes.tolist()):
+                            held.append(ids.next(n).astype("<u4").tobytes())
+                            n_held += 4 * n
+                            if k + 1 == len(sizes) or n_held > 16 << 20:
+                                at = slice(first, k + 1)
+                                yield pa.RecordBatch.from_arrays([some.column(0)[at], pa.array(starts[at]), pa.array(sizes[at]), pa.array(held, pa.binary())], ["doc_id", "start", "n_tokens", "tokens"])
+                                held, first, n_held = [], k + 1, 0
 
     return files.repartition(max(1, len(parts))).mapInArrow(run, schema)

@@ -8,28 +8,51 @@ import pytest
 from edges import edge_frame, edge_rows, empty_frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from normcast.llm.encoding import Encoder, in_slices
 from normcast.llm.harmonic_packing import Bins, cut, pack
 from normcast.llm.scratch import new_path
 from normcast.llm.token_files import TokenFile, read_documents, write_token_files
 
+#: Strings of special tokens, parts of them and what may stand beside them.
+SPECIAL = ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", " ", "\n", "a", " word", "\t")
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
 ENCODERS = {f: Encoder(public_tokenizers.path(f), keep=50) for f in FILES}
+LIBRARY = {f: Tokenizer.from_file(public_tokenizers.path(f)) for f in FILES}
 
 
 def plain(f, text):
-    return ENCODERS[f].library.encode(text or "", add_special_tokens=False).ids
+    """The library alone, with objects of its own."""
+    return LIBRARY[f].encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("f", FILES)
 @settings(max_examples=150, deadline=None)
-@given(texts=st.lists(st.one_of(st.none(), st.text(max_size=40), st.text(alphabet="ab '.\n\t é1sStT\x00\u3000́", max_size=60)), max_size=6))
+@given(texts=st.lists(st.one_of(st.none(), st.text(max_size=40), st.text(alphabet="ab '.\n\t é1sStT\x00\u3000́", max_size=60), st.lists(st.sampled_from(SPECIAL), max_size=8).map("".join)), max_size=6))
 def test_ids_equal_the_library(f, texts):
     bounds, ids = ENCODERS[f].encode_batch(pa.array(texts, pa.string()))
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain(f, t) for t in texts]
 
 
+@pytest.mark.parametrize("f", FILES)
+def test_special_strings_as_text(f):
+    want = Tokenizer.from_file(public_tokenizers.path(f))
+    want.encode_special_tokens = True
+    text = "a <|endoftext|> b<|startoftext|>"
+    got = Encoder(public_tokenizers.path(f), special_as_text=True)
+    assert got.encode(text).tolist() == want.encode(text, add_special_tokens=False).ids != plain(f, text)
+
+
+@pytest.mark.parametrize("f", FILES)
+def test_long_chunks_are_not_kept(f):
+    encoder = Encoder(public_tokenizers.path(f))
+    texts = ["y" * 100_000, "x" * 65 + " of " + "z" * 3_000, "one two", None, ""]
+    bounds, ids = encoder.encode_batch(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain(f, t) for t in texts]
+    assert max(map(len, encoder._known.to_pylist())) <= 64
+
+
 @pytest.mark.parametrize("f", FILES)
 def test_ids_in_slices(f):
     texts = pa.array([r[1] for r in edge_rows()], pa.string())
