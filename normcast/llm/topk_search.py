@@ -33,28 +33,48 @@ def unpacked(dim: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, dim)
 
 
+#: The id of no candidate.
+_NONE = np.iinfo(np.int64).max
+
+
 class Best:
-    """The k best of each query of one block: larger score first, ties to the smaller id."""
+    """The k best ids of each query of one block, each with its highest score: larger score first, ties to the smaller id."""
 
     def __init__(self, n: int, k: int):
         self.k = k
         self.scores = np.full((n, k), -np.inf)
-        self.ids = np.full((n, k), np.iinfo(np.int64).max)
+        self.ids = np.full((n, k), _NONE)
 
     def merge(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """New scores of some queries (-inf: none) against the candidates ``ids``."""
+        """New scores of some queries (-inf: none) against the candidates ``ids``, in which an id may occur more than once."""
+        scores, ids = by_id(scores, ids)
         if scores.shape[1] > 4 * self.k:
-            # what lies below the k-th largest can't enter; ties with it are kept for their ids
+            # what lies below the k-th largest of as many ids can't enter; ties with it are kept for their ids
             kth = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
             alive = np.maximum(kth, self.scores[rows, -1])
             hit = (scores >= alive[:, None]).any(axis=0)
             scores, ids = scores[:, hit], ids[hit]
         s = np.concatenate([self.scores[rows], scores], axis=1)
-        i = np.concatenate([self.ids[rows], np.where(scores > -np.inf, ids, np.iinfo(np.int64).max)], axis=1)
+        i = np.concatenate([self.ids[rows], np.where(scores > -np.inf, ids, _NONE)], axis=1)
+        if np.isin(ids, self.ids[rows]).any():
+            order = np.lexsort((-s, i), axis=1)
+            s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            again = np.zeros(s.shape, bool)
+            again[:, 1:] = i[:, 1:] == i[:, :-1]
+            s[again], i[again] = -np.inf, _NONE
         order = np.lexsort((i, -s), axis=1)[:, : self.k]
         self.scores[rows], self.ids[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
+def by_id(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of columns with the same id one, with the highest scores."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0])) if len(ids) else order
+    if len(first) == len(ids):
+        return scores, ids
+    return np.maximum.reduceat(scores[:, order], first, axis=1), ids[order][first]
+
+
 def search_bucket(best: Best, q_ids: np.ndarray, q: np.ndarray, q_len: np.ndarray, floor: np.ndarray, c_ids: np.ndarray, c: np.ndarray, c_len: np.ndarray, high: float, focus: int) -> None:
     """Search one bucket (longest first). ``floor``: scores below it can't be among a query's k best."""
     t = np.maximum(best.scores[:, -1], floor)
@@ -98,19 +118,19 @@ def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -
 
 
 def top_k(rows: DataFrame, is_query: F.Column, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block: int = 16_384, bucket: int = 1_024, high: float = 0.8, focus: int = 4) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` largest integer products of each query, ties to the smaller id.
+    """``(query_id, rank, vec_id, score)``: the ``k`` ids with the largest integer products of each query, ties to the smaller id.
 
     Queries are the rows where ``is_query`` holds; candidates all rows but those with the query's own
     id. Vectors of other lengths than the query's have no product with it. Null vectors, vectors
     with null or non-finite components, and null ids take no part. Exactly repeated rows count once;
-    rows of one id with different vectors are candidates each, and their queries share one ranking.
+    rows of one id with different vectors count by the highest score of any of them, and their queries share one ranking.
     Fewer than ``k`` candidates give fewer rows; an empty table none. Scores are exact while the sum of
     their terms' magnitudes is under 2 ** 53, rounded to a double beyond, and end at the range of a long. Other columns are ignored.
 
     Candidates are ranged by length over partitions once and written as packed buckets. Queries come
     to the driver ``block`` at a time (``block`` vectors bound what it holds and broadcasts) and each
-    block meets all buckets. Floors from the longest bucket, found beforehand, let the tasks prune
-    from their first bucket on; each task gives ``k`` rows a query at most.
+    block meets all buckets. Floors from the ids with the longest vectors, one of each, found beforehand, let the
+    tasks prune from their first bucket on; each task gives ``k`` rows a query at most.
     """
     spark = rows.sparkSession
     sc = spark.sparkContext
@@ -141,7 +161,9 @@ def top_k(rows: DataFrame, is_query: F.Column, k: int, *, id_col: str = "vec_id"
     buckets = written(ranged.select("vec_id", "v").mapInArrow(pack, _CANDIDATES), "buckets")
     longest = {}
     for dim in [r[0] for r in buckets.select("dim").distinct().collect()]:
-        top = whole.filter(F.size("v") == dim).orderBy(F.col("norm2").desc(), "vec_id").limit(bucket).collect()
+        own = whole.filter(F.size("v") == dim)
+        ids = own.groupBy("vec_id").agg(F.max("norm2").alias("n")).orderBy(F.col("n").desc(), "vec_id").limit(bucket)
+        top = own.join(F.broadcast(ids.withColumnRenamed("vec_id", "i")), (F.col("vec_id") == F.col("i")) & (F.col("norm2") == F.col("n"))).groupBy("vec_id").agg(F.min("v").alias("v")).collect()
         longest[dim] = (np.array([r["vec_id"] for r in top]), np.array([r["v"] for r in top], float).reshape(len(top), dim))
 
     def floors(ids: np.ndarray, q: np.ndarray) -> np.ndarray:

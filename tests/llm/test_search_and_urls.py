@@ -38,6 +38,20 @@ def test_top_k_equals_brute_force(spark, lengths, spread):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == brute([(i, v) for i, v in rows], 4)
 
 
+@pytest.mark.parametrize("bucket", [4, 64])
+def test_repeats_among_the_longest_take_no_place(spark, bucket):
+    rng = np.random.default_rng(8)
+    short = [(100 + i, [1.0 + i / 64, i / 8]) for i in range(6)]
+    same = [(0, [1.0, 0.0]), *[(1, [10.0, 0.0])] * 5, *short]
+    many = [(0, [1.0, 0.0]), *[(1, [10.0 - i / 64, i / 64]) for i in range(40)], *short, (5, [-1.0, 0.5])]
+    hot = [(int(i), [float(np.float32(x)) for x in rng.normal(size=2) * 4]) for i in rng.choice([1, 1, 1, 5, *range(10, 20)], 120)]
+    for rows in (same, many, hot):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        for k in (1, 5):
+            got = top_k(df, F.col("vec_id") % 5 == 0, k, bucket=bucket, block=3, high=0.5).collect()
+            assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == brute(rows, k)
+
+
 def test_huge_components_do_not_fail(spark):
     df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [-3e7, 0.0]), (5, [1e5, -2e5])], "vec_id long, embedding array<double>")
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(df, F.col("vec_id") % 5 == 0, 2).collect()}
