@@ -35,13 +35,15 @@ def base(x):
 def grams(x, buckets):
     w = re.findall(r"[^\x20\x09-\x0D]+", x or "")
 
-    def spark_hash(*words):
+    def spark_hash(*parts):
         seed = 42
-        for s in words:
-            seed = xxhash.xxh64_intdigest(s, seed)
-        return (seed - (1 << 64) if seed >> 63 else seed) % buckets
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p, seed)
+        return seed
 
-    return [spark_hash(a) for a in w] + [spark_hash(a, b) for a, b in zip(w, w[1:])]
+    one = [spark_hash(a) for a in w]
+    pairs = [spark_hash(a.to_bytes(8, "little"), b.to_bytes(8, "little")) for a, b in zip(one, one[1:])]
+    return [(h - (1 << 64) if h >> 63 else h) % buckets for h in one + pairs]
 
 
 def test_rules_and_ratio_equal_brute_force(spark):
