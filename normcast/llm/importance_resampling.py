@@ -1,8 +1,10 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Each text is a bag of hashed word n-grams (words and pairs of words). Its log weight is the sum of
-log P(bucket | target) - log P(bucket | raw). Adding Gumbel noise and taking the k largest samples k
-documents without replacement in proportion to their weights. The noise is a hash of the id, so reruns agree.
+log P(bucket | target) - log P(bucket | raw), the plain ratio of the two models. As texts have very different lengths,
+they compete by their weight at a common length: the mean over their n-grams times ``LENGTH``. Adding Gumbel noise and
+taking the k largest samples k documents without replacement in proportion to these weights. The noise is a hash of the id,
+so reruns agree.
 
 A few insults weigh little in a sum over a whole text, so toxic text is found apart: by the share of words
 that labelled toxic texts hold far more often than other labelled texts. It is never kept.
@@ -10,7 +12,6 @@ that labelled toxic texts hold far more often than other labelled texts. It is n
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,10 @@ from normcast.llm.scratch import dropped, hash_sample, small_batches, written
 UNIT = 1 << 20
 #: Bytes of text whose n-grams are in memory at once, some 40 bytes for each byte.
 _SLICE = 2 << 20
+#: N-grams of the length at which texts are compared.
+LENGTH = 256
+#: Losing a labelled good text counts as much as keeping so many poor ones.
+_GOOD_TO_POOR = 8
 #: A word is toxic where at least so many labelled toxic texts hold it, and a text holds it with this log odds ratio.
 _TOXIC_TEXTS, _TOXIC_RATIO = 3, 3.0
 #: A text is toxic with two toxic words at least, whose ratios come to this for each of its words (of at least 20).
@@ -59,10 +64,9 @@ def target_ids(labels: DataFrame, most: int) -> list:
     return [r[0] for r in hash_sample(good, most).collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, target_rows: int = 20_000, smoothing: float = 20.0, lenience: float = 0.08) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, target_rows: int = 20_000, smoothing: float = 20.0) -> np.ndarray:
     """Weights by bucket. Raw counts cover every row of ``docs``; the target's are those of at most
-    ``target_rows`` labelled rows. ``lenience`` is added to each n-gram's log ratio: the raw text holds
-    the target too, and copies that it has more of than the target do not count against a document. What returns to the driver is one row for each bucket."""
+    ``target_rows`` labelled rows. What returns to the driver is one row for each bucket."""
     spark = docs.sparkSession
     small_batches(spark)
     wanted = spark.sparkContext.broadcast(frozenset(target_ids(labels, target_rows)))
@@ -85,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sums[:, got["bucket"].to_numpy(np.int64)] = got[["t", "c"]].to_numpy(float).T
     sums[1] *= sums[0].sum() / max(1.0, sums[1].sum())  # both to the target's size: what is rare in both weighs nothing
     p = sums + smoothing
-    return np.round((np.log(p[0] / p[1]) + lenience) * UNIT).astype(np.int64)
+    return np.round(np.log(p[0] / p[1]) * UNIT).astype(np.int64)
 
 
 def toxic_words(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = 20_000, most: int = 65_536) -> dict[str, float]:
@@ -129,16 +133,17 @@ def is_toxic(text: F.Column, words: dict[str, float]) -> F.Column:
 
 
 def log_weights(text: F.Column, weights: np.ndarray) -> F.Column:
-    """The log weight of a string column, in units of 2 ** -20."""
+    """``struct(total, n)`` of a string column: its log weight in units of 2 ** -20, and its number of n-grams."""
 
-    @F.arrow_udf("long")
+    @F.arrow_udf("struct<total: long, n: long>")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out = np.zeros(len(texts), np.int64)
+            total, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for lo, hi in in_slices(texts, _SLICE):
                 owner, grams = hashed_grams(texts.slice(lo, hi - lo), len(weights))
-                np.add.at(out, owner + lo, weights[grams])
-            yield pa.array(out)
+                np.add.at(total, owner + lo, weights[grams])
+                n[lo:hi] = np.bincount(owner, minlength=hi - lo)
+            yield pa.StructArray.from_arrays([pa.array(total), pa.array(n)], ["total", "n"])
 
     return scored(text)
 
@@ -165,31 +170,47 @@ def top_threshold(rows: DataFrame, key: str, k: int, bits: int = 12) -> int:
     return prefix + low
 
 
-def expected_targets(rows: DataFrame, prior: float) -> int:
-    """How many rows of ``log_weight`` the models expect to be target text: the sum of each row's posterior."""
-    odds = F.col("log_weight") / UNIT + F.lit(math.log(prior / (1 - prior)))
-    sigmoid = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), odds))))
-    return int(rows.agg(F.coalesce(F.round(F.sum(sigmoid)), F.lit(0.0))).first()[0])
-
+def fitted_limit(rows: DataFrame, labels: DataFrame, most: int) -> int | None:
+    """The weight (at common length) from which on a labelled text is likelier good than poor, in units of 2 ** -20.
 
-def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, prior: float = 0.99, buckets: int = 1 << 16, target_rows: int = 20_000, smoothing: float = 20.0, lenience: float = 0.08, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+    Of rows ``(id, weight)`` those of at most ``most`` good and ``most`` poor labelled ids count, an id's smallest
+    weight where it has several. The limit is in the middle of the gap that loses the fewest good and keeps the fewest poor
+    texts, a good one counting as much as ``_GOOD_TO_POOR`` poor ones. None if either kind is lacking.
+    """
+    marked = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    ids = {x: hash_sample(marked.filter(F.col("quality") == x).select("doc_id"), most).select("doc_id", F.lit(x).alias("x")) for x in (0, 1)}
+    chosen = F.broadcast(ids[0].union(ids[1]).withColumnRenamed("doc_id", "i"))
+    got = rows.join(chosen, F.col("id") == F.col("i")).groupBy("i", "x").agg(F.min("weight").alias("weight")).toPandas()
+    good, poor = (np.sort(got["weight"][got["x"] == x].to_numpy(np.int64)) for x in (1, 0))
+    if not len(good) or not len(poor):
+        return None
+    cuts = np.unique(np.concatenate([good, poor]))
+    cost = _GOOD_TO_POOR * np.searchsorted(good, cuts) / len(good) + 1 - np.searchsorted(poor, cuts) / len(poor)
+    k = int(np.flatnonzero(cost == cost.min())[-1])
+    return int((cuts[k - 1] + cuts[k]) // 2 if k else cuts[0])
+
+
+def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, buckets: int = 1 << 16, target_rows: int = 20_000, smoothing: float = 20.0, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(id, log_weight, key, kept)`` of every row, and the columns named in ``carry``.
 
-    ``key`` is the log weight with Gumbel noise, both in units of 2 ** -20; ``kept`` marks the ``k``
-    largest keys of the texts that are not toxic. Without ``k``, it is the number of rows that the models expect to be target text,
-    a row's prior odds being ``prior``: rows that are no likelier as target than as raw text then
-    fall out, and the noise only moves rows at the margin. Rows with the k-th key all stay.
+    ``log_weight`` is the sum of the text's log ratios, ``key`` its weight at common length with Gumbel noise, both in
+    units of 2 ** -20; ``kept`` marks the ``k`` largest keys of the texts that are not toxic. Without ``k``, it is fitted: the number of these
+    texts whose weight reaches the limit that best parts labelled good and poor texts (all without such labels). The noise then only moves
+    rows at the margin. Rows with the k-th key all stay.
 
-    Null, empty and blank texts have log weight 0, in whose favour the prior speaks. Null ids take
+    Null, empty and blank texts have weight 0. Null ids take
     their noise from the text. Repeated rows share a key and stay or go together. Labels that are
     null or name no row teach nothing. An empty table gives no row.
     """
-    weights = fit(docs, labels, id_col=id_col, text_col=text_col, buckets=buckets, target_rows=target_rows, smoothing=smoothing, lenience=lenience)
+    weights = fit(docs, labels, id_col=id_col, text_col=text_col, buckets=buckets, target_rows=target_rows, smoothing=smoothing)
     toxic = is_toxic(F.col(text_col), toxic_words(docs, labels, id_col=id_col, text_col=text_col, rows=target_rows))
-    rows = docs.select(F.col(id_col).alias("__id"), *carry, log_weights(F.col(text_col), weights).alias("log_weight"), toxic.alias("__toxic"), gumbel(F.col(id_col), F.col(text_col), seed).alias("__noise"))
-    rows = written(rows.withColumn("key", F.col("log_weight") + F.col("__noise")).drop("__noise"), "weights")
-    fit_rows = rows.filter(~F.col("__toxic"))
-    k = expected_targets(fit_rows, prior) if k is None else k
-    least = top_threshold(fit_rows, "key", k) if k > 0 else None
+    rows = docs.select(F.col(id_col).alias("id"), *carry, log_weights(F.col(text_col), weights).alias("__w"), toxic.alias("__toxic"), gumbel(F.col(id_col), F.col(text_col), seed).alias("__noise"))
+    at_length = F.expr(f"if(__w.n > 0, {LENGTH} * __w.total div greatest(__w.n, 1), 0L)")
+    rows = written(rows.withColumn("weight", at_length).withColumn("key", F.col("weight") + F.col("__noise")), "weights")
+    clean = rows.filter(~F.col("__toxic"))
+    if k is None:
+        limit = fitted_limit(rows, labels, target_rows)
+        k = (clean if limit is None else clean.filter(F.col("weight") >= limit)).count()
+    least = top_threshold(clean, "key", k) if k > 0 else None
     kept = F.lit(False) if least is None else ~F.col("__toxic") & (F.col("key") >= F.lit(least))
-    return rows.select(F.col("__id").alias("id"), *carry, "log_weight", "key", kept.alias("kept"))
+    return rows.select("id", *carry, F.col("__w.total").alias("log_weight"), "key", kept.alias("kept"))
