@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import xxhash
 from edges import edge_frame, edge_rows, empty_frame, sentence
 from pyspark.sql import functions as F
@@ -133,8 +134,13 @@ def test_forward_sums_all_segmentations():
     words = ["hello", "überaus", "漢字x", "a", "z" * 9]
     want = np.log([[brute("▁" + w, k) for k in (0, 1)] for w in words])
     assert np.allclose(pieces.forward(words, pieces.scaled(p)), want)
-    long = "ab" * 40
-    assert np.isfinite(pieces.forward([long, "漢" * 70], pieces.scaled(p))).all()
+    long = "ab" * 40  # cut
+    got = pieces.forward([long, "漢" * 70, *words, long[: G._LONG], long[G._LONG :]], pieces.scaled(p))
+    assert np.isfinite(got).all() and np.allclose(got[0], got[-2] + got[-1]) and np.allclose(got[2:-2], want)
+    logs = G.WordLogs(PIECES, p, keep=6)
+    for some in (words, words[::-1], [long, "one", "two", "three", "four"], ["漢字x", *"bcdefghi"], words):
+        assert np.allclose(logs.of(pa.array(some, pa.large_string())), pieces.forward(some, pieces.beside_background(p)))
+        assert len(logs.words) <= 6 and max(map(len, logs.words.to_pylist())) <= 60
     uses = pieces.expected(["hello"], np.array([2.0]), pieces.scaled(p[:, 0]))
     assert abs((uses * pieces.sizes).sum() - 12) < 0.1
 
@@ -160,3 +166,23 @@ def test_language(spark):
     assert sorted(map(str, again)) == sorted(map(str, rows))
     assert G.identify(empty_frame(spark), PIECES).count() == 0
     assert {r["lang_pred"] for r in G.identify(df.withColumn("lang", F.lit(None).cast("string")), PIECES).collect()} == {"und"}
+    fits = {r["id"]: r["fit"] for r in rows}
+    assert all(0.3 < fits[i] < 2 for i in range(300)) and fits[1000] == fits[1011] == 0
+
+
+def test_language_of_unspaced_text(spark):
+    """Two invented languages without spaces, whose words are whole texts, are learned and told apart."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choices(("ba", "do", "ki", "lu") if i % 2 else ("ché", "ren", "sto", "wu"), k=rng.randint(40, 3_000))), "x" if i % 2 else "y") for i in range(120)]
+    got = G.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES).collect()
+    assert all(r["lang_pred"] == ("x" if r["id"] % 2 else "y") and r["fit"] > 0.5 for r in got)
+
+
+def test_one_id_with_many_rows_teaches_once(spark):
+    rows = edge_rows(60)
+    same = [(3, t, "en", None) for _, t, *_ in rows[:50]] * 40
+    docs = spark.createDataFrame([*rows, *same], "doc_id long, text string, lang string, source string")
+    languages, p, typical = G.fit(docs, PIECES, rows_per_language=5)
+    assert languages == ["de", "en", "fr"] and np.allclose(p.sum(axis=0), 1) and (typical > 0).all()
