@@ -73,3 +73,23 @@ def hash_sample(ids: DataFrame, most: int) -> DataFrame:
     if n > 2 * most:
         ids = ids.filter(h < (1 << 33) * most // n)
     return ids.orderBy(h, name).limit(most)
+
+
+#: Keys with more rows than this, and than their ten-thousandth part of all rows, are hot.
+_HOT_ROWS = 32
+
+
+def hot_above(n_rows: int) -> int:
+    """The number of rows over which a key is hot: fewer than 10,000 keys can be."""
+    return max(_HOT_ROWS, n_rows // 10_000)
+
+
+def joined(rows: DataFrame, one: DataFrame, keys: list[str], n_rows: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined on ``keys`` with ``one``, which has a row for each key and in ``n`` the key's number of rows.
+
+    The hot keys' rows of ``one``, fewer than 10,000, are broadcast, so the rows of a hot key stay where they lie; only the others are
+    shuffled. ``n`` is dropped. Keys are not null.
+    """
+    hot, cold = one.filter(F.col("n") > hot_above(n_rows)).drop("n"), one.filter(F.col("n") <= hot_above(n_rows)).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normcast.llm.scratch import dropped, shuffle_width, small_batches, written
+from normcast.llm.scratch import dropped, joined, shuffle_width, small_batches, written
 
 #: Shingles whose bits are counted at once.
 _STEP = 1 << 16
@@ -117,8 +117,9 @@ def near_links(nodes: DataFrame, differing: int = 3, tile: int = 1024) -> DataFr
     """
     spark = nodes.sparkSession
     keyed = nodes.select("fp", _block_keys(F.col("fp"), differing).alias("k")).select("fp", "k.t", "k.v")
-    shared = keyed.groupBy("t", "v").count().filter("count > 1")
-    rows = keyed.join(shared, ["t", "v"]).withColumn("g", F.ceil(F.col("count") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
+    n_keys = (differing + 2) * (differing + 1) // 2
+    shared = keyed.groupBy("t", "v").agg(F.count("*").alias("n")).filter("n > 1").withColumn("g", F.ceil(F.col("n") / tile).cast("int"))
+    rows = joined(keyed, shared, ["t", "v"], n_keys * nodes.count()).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
     others = F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("g") - 1), F.col("own")))
     tiles = rows.select("fp", "t", "v", "own", F.explode(others).alias("other")).select("t", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
     dealt = tiles.repartition(shuffle_width(spark), "t", "v", "i", "j").sortWithinPartitions("t", "v", "i", "j")
@@ -129,8 +130,8 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` of every node that has a link; the root is the component's smallest node.
 
     Alternating large and small stars, each round written to the shared folder. The minimum of a
-    node's neighbours is combined before it is shuffled; only joins move single links, and adaptive
-    execution splits those of a hub.
+    node's neighbours is combined before it is shuffled; joins move single links, but not those of hubs,
+    whose minima are broadcast.
     """
 
     def directed(e: DataFrame) -> DataFrame:
@@ -139,17 +140,18 @@ def components(links: DataFrame) -> DataFrame:
     def state(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
+    def with_least(e: DataFrame, n: int) -> DataFrame:
+        return joined(e, e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), ["u"], n)
+
     edges = written(directed(links), "links")
     before = state(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        large = written(with_least(both, 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), "large")
+        small = with_least(large, before[0])
         small = small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         following = written(small.distinct(), "links")
-        dropped(edges)
+        dropped(edges, large)
         edges, now = following, state(following)
         if now == before:
             break
@@ -168,27 +170,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     small_batches(docs.sparkSession)
     rows = written(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), width, seed).alias("fp")), "fingerprints")
-    return rows.join(classes(rows, differing), "fp").select("id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, differing: int = 3) -> DataFrame:
-    """One row of each component of near-duplicates, all its columns: that with the smallest id (null last),
-    of rows that share it the first read. Rows are told apart by a number of their own, so repeated rows leave one.
-    """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col(id_col).alias("id"), fingerprints(F.col(text_col), width, seed).alias("fp"))
-    rows = written(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
-    slim = rows.select("id", "fp", "number")
-    first = slim.join(classes(slim, differing), "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "number")).alias("x"))
-    return rows.join(first.select("x.number"), "number", "left_semi").select("__row.*")
+    return joined(rows, classes(rows, differing), ["fp"], rows.count()).select("id", "fp", "component_id")
 
 
 def classes(rows: DataFrame, differing: int = 3) -> DataFrame:
-    """``(fp, root, component_id)`` for each distinct ``fp`` of rows ``(id, fp)``; the root is its component's own key."""
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
+    """``(fp, component_id, n)`` for each distinct ``fp`` of rows ``(id, fp)``, and its number of rows."""
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "nodes")
     roots = written(components(near_links(nodes, differing)), "roots")
-    linked = nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "rep")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    linked = written(nodes.drop("n").join(roots, F.col("fp") == F.col("node")).select("fp", "root", "rep"), "linked")
     named = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    members = written(linked.join(named, "root").select(F.col("fp").alias("node"), "root", "component_id"), "members")
-    alone = F.col("root").isNull()
-    return nodes.join(members, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+    members = written(joined(linked.drop("rep"), named.join(sizes, "root"), ["root"], linked.count()).select(F.col("fp").alias("node"), F.lit(True).alias("linked"), "component_id"), "members")
+    out = nodes.join(members, F.col("fp") == F.col("node"), "left")
+    dropped(roots, linked)
+    return out.select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"), "n")

@@ -51,9 +51,17 @@ def test_components_equal_brute_force(spark):
     want = Counter((i, plain_fingerprint(x), least[label[plain_fingerprint(x)]]) for i, x, *_ in rows)
     assert Counter((r["id"], r["fp"] % (1 << 64), r["component_id"]) for r in got) == want
     assert S.near_duplicates(empty_frame(spark)).count() == 0
-    kept = S.one_of_each(edge_frame(spark))
-    assert kept.columns == edge_frame(spark).columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(least.values())
+
+
+def test_components_with_hot_keys(spark):
+    """A hub with most of the links, copies of one text that are most of the rows, and many texts without words."""
+    links = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(30)] + [(399, 1000), (5000, 5001)]
+    got = {r["node"]: r["root"] for r in S.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    assert got == {**{i: 0 for i in [*range(400), *range(1000, 1031)]}, 5000: 5000, 5001: 5000}
+    rows = [(i, "one and the same text in every row") for i in range(500)] + [(i, " ") for i in range(500, 900)] + [(900, "something else altogether"), (None, None)]
+    found = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {(r["id"], r["component_id"]) for r in found} == {*((i, 0) for i in range(500)), *((i, 500) for i in range(500, 900)), (900, 900), (None, 500)}
+    assert len(found) == len(rows)
 
 
 @pytest.mark.parametrize("tile", [4, 64])
