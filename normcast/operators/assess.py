@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normcast.operators.quality import ContractError
+
+
+#: Columns of the experiment log.
+EXPERIMENT = ("id", "hypothesis", "dataset_version", "feature_version", "configuration", "seed", "environment", "metrics", "resources", "conclusion")
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -46,17 +53,47 @@ def evidence(df: DataFrame, id_col: str, columns: Sequence[str], top: int) -> Da
     return picked.select(id_col, (F.col("p") + 1).alias("rank"), F.lit("transaction").alias("type"), "e.feature", "e.value", "e.deviation", F.concat(F.col("e.feature"), F.lit(" is "), side, F.lit(" its mean")).alias("explanation"))
 
 
-def cases(df: DataFrame, account: str, id_col: str, score: str, level: str, levels: Sequence[str], most_ids: int = 1000) -> DataFrame:
-    """One case for each account with a row of one of the levels: its number of rows, highest score, and the ids
-    (in order) of its first ``most_ids`` rows, so an account's array is bounded while its count is whole."""
-    noted = df.filter(F.col(level).isin(*levels))
-    place = F.row_number().over(Window.partitionBy(account).orderBy(id_col))
-    listed = noted.withColumn("__r", place).groupBy(account).agg(F.count("*").alias("n"), F.max(score).alias("priority"), F.sort_array(F.collect_list(F.when(F.col("__r") <= most_ids, F.col(id_col)))).alias("ids"))
-    return listed
+@F.udtf(returnType="feature string, value double, deviation double")
+class EvidenceRows:
+    """One row for each feature that lies ``least`` deviations or more from its mean; features without a deviation have none."""
+
+    def eval(self, names: list, values: list, means: list, deviations: list, least: float):
+        for name, x, m, s in zip(names, values, means, deviations):
+            if x is not None and s and abs(x - m) / s >= least:
+                yield name, x, (x - m) / s
+
+
+def expanded(df: DataFrame, id_col: str, columns: Sequence[str], least: float) -> DataFrame:
+    """``(id, feature, value, deviation)`` of all features at least so far from their mean, by a table function on each row."""
+    spark = df.sparkSession
+    fit = df.agg(F.array(*[F.avg(F.col(c).cast("double")) for c in columns]).alias("__m"), F.array(*[F.stddev_samp(F.col(c).cast("double")) for c in columns]).alias("__s"))
+    spark.udtf.register("normcast_evidence_rows", EvidenceRows)
+    rows = df.crossJoin(F.broadcast(fit)).select(id_col, F.array(*[F.lit(c) for c in columns]).alias("__n"), F.array(*[F.col(c).cast("double") for c in columns]).alias("__v"), "__m", "__s")
+    return spark.sql(f"SELECT r.`{id_col}`, e.* FROM {{rows}} r, LATERAL normcast_evidence_rows(r.__n, r.__v, r.__m, r.__s, {float(least)!r}D) e", rows=rows)
+
+
+def log_experiment(spark: SparkSession, path: str, **fields: object) -> None:
+    """Append one row to the experiment log: a Parquet table with a column for each of ``EXPERIMENT``; fields that are no strings are kept as JSON."""
+    if unknown := set(fields) - set(EXPERIMENT):
+        raise ContractError(f"the log has no such fields: {', '.join(sorted(unknown))}")
+    if not fields.get("id"):
+        raise ContractError("an experiment needs an id")
+    row = tuple(v if v is None or isinstance(v, str) else json.dumps(v, sort_keys=True) for v in (fields.get(n) for n in EXPERIMENT))
+    spark.createDataFrame([row], ", ".join(f"{n} string" for n in EXPERIMENT)).write.mode("append").parquet(path)
+
+
+def experiments(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(", ".join(f"{n} string" for n in EXPERIMENT)).parquet(path)
+
+
+def cases(df: DataFrame, account: str, score: str, level: str, levels: Sequence[str]) -> DataFrame:
+    """One case for each account with a row of one of the levels: its number of rows and its highest score."""
+    return df.filter(F.col(level).isin(*levels)).groupBy(account).agg(F.count("*").alias("n"), F.max(score).alias("priority"))
 
 
-def case_members(case_rows: DataFrame, account: str) -> DataFrame:
-    return case_rows.select(account, F.explode("ids").alias("id"))
+def case_members(df: DataFrame, account: str, id_col: str, level: str, levels: Sequence[str]) -> DataFrame:
+    """``(account, id)`` of every row of a case, whose key is the account: nothing is gathered, so a case may have any number of rows."""
+    return df.filter(F.col(level).isin(*levels)).select(account, F.col(id_col).alias("id"))
 
 
 def routed(df: DataFrame, score: str, low: float, high: float) -> DataFrame:

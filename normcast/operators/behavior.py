@@ -70,6 +70,20 @@ def timeline(df: DataFrame, account: str, time: str, id_: str, amount: str, last
     )
 
 
+def frame_values(df: DataFrame, account: str, time: str, id_: str, amount: str, reach: int = 2) -> DataFrame:
+    """Values of other frames: ``second`` (the account's second amount so far), ``around`` (mean of up to ``reach`` rows on either
+    side and the row itself) and ``without_self`` (the same without the row: an excluded current row is one that is taken off)."""
+    w = Window.partitionBy(account).orderBy(time, id_)
+    near = w.rowsBetween(-reach, reach)
+    x = F.col(amount)
+    total, n = F.sum(x).over(near) - F.coalesce(x, F.lit(0)), F.count(x).over(near) - F.when(x.isNotNull(), 1).otherwise(0)
+    return (
+        df.withColumn("second", F.nth_value(amount, 2).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("around", F.avg(x).over(near))
+        .withColumn("without_self", F.when(n > 0, total / n))
+    )
+
+
 def attention_rank(df: DataFrame, score: str, tiers: int = 4) -> DataFrame:
     """Rank of every row by score, highest first and ties alike, and its tier; missing scores rank last.
 

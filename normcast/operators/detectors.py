@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normcast.functions.scalar import ratio, salted_rank_key
+from normcast.operators.ordered import kth_values, percentiles
 
 
 def zscore(df: DataFrame, column: str, out: str = "z") -> DataFrame:
@@ -23,12 +24,13 @@ def zscore(df: DataFrame, column: str, out: str = "z") -> DataFrame:
 
 def robust_flags(df: DataFrame, column: str) -> DataFrame:
     """Tukey fences (1.5 interquartile ranges) and the modified z-score over the median absolute deviation."""
-    q = df.agg(F.percentile(column, [0.25, 0.5, 0.75]).alias("__q"))
-    out = df.crossJoin(F.broadcast(q))
-    mad = out.agg(F.median(F.abs(F.col(column) - F.col("__q")[1])).alias("__d"))
-    width = F.col("__q")[2] - F.col("__q")[0]
-    outside = (F.col(column) < F.col("__q")[0] - 1.5 * width) | (F.col(column) > F.col("__q")[2] + 1.5 * width)
-    return out.crossJoin(F.broadcast(mad)).withColumn("outside", outside.cast("int")).withColumn("mad_z", ratio(0.6745 * (F.col(column) - F.col("__q")[1]), F.col("__d"))).drop("__q", "__d")
+    low, middle, high = percentiles(df, column, [0.25, 0.5, 0.75])
+    (mad,) = percentiles(df.select(F.abs(F.col(column) - F.lit(middle)).alias("d")), "d", [0.5])
+    x = F.col(column)
+    if middle is None:
+        return df.withColumn("outside", F.lit(None).cast("int")).withColumn("mad_z", F.lit(None).cast("double"))
+    outside = (x < low - 1.5 * (high - low)) | (x > high + 1.5 * (high - low))
+    return df.withColumn("outside", outside.cast("int")).withColumn("mad_z", ratio(0.6745 * (x - middle), F.lit(mad)))
 
 
 def mahalanobis(df: DataFrame, columns: Sequence[str], out: str = "distance") -> DataFrame:
@@ -36,14 +38,19 @@ def mahalanobis(df: DataFrame, columns: Sequence[str], out: str = "distance") ->
 
     A covariance that can't be inverted counts by its pseudo-inverse. Distances sum to rows times rank.
     """
+    mean, cov = mean_and_covariance(df, columns)
+    return _quadratic(df, columns, mean, np.linalg.pinv(cov), out)
+
+
+def mean_and_covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population covariance of all rows, by one aggregate."""
     d = len(columns)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     cov = np.zeros((d, d))
     for i, j in pairs:
         cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
-    mean = np.array([row[f"m{i}"] or 0.0 for i in range(d)])
-    return _quadratic(df, columns, mean, np.linalg.pinv(cov), out)
+    return np.array([row[f"m{i}"] or 0.0 for i in range(d)]), cov
 
 
 def _quadratic(df: DataFrame, columns: Sequence[str], mean: np.ndarray, inverse: np.ndarray, out: str) -> DataFrame:
@@ -63,8 +70,13 @@ def sample_rows(df: DataFrame, id_col: str, columns: Sequence[str] | str, most:
 
 
 def elliptic_envelope(df: DataFrame, id_col: str, columns: Sequence[str], *, support: float = 0.7, most: int = 20_000, seed: int = 12345, starts: int = 10, out: str = "distance") -> DataFrame:
-    """Squared distance under a minimum covariance determinant fit (Rousseeuw and Van Driessen 1999) on a sample."""
-    x = sample_rows(df, id_col, columns, most, seed)
+    """Squared distance under a minimum covariance determinant fit (Rousseeuw and Van Driessen 1999).
+
+    Starts and first steps run on at most ``most`` rows on the driver; the best of them is then carried on over all rows, each step an exact
+    order statistic and one aggregate, until the determinant falls no more. Rows with a missing value take no part in the fit.
+    """
+    rows = df.dropna(subset=list(columns))
+    x = sample_rows(rows, id_col, columns, most, seed)
     if not len(x):
         return df.withColumn(out, F.lit(None).cast("double"))
     rng, h, best = np.random.default_rng(seed), max(x.shape[1] + 1, int(support * len(x))), (np.inf, None, None)
@@ -81,7 +93,17 @@ def elliptic_envelope(df: DataFrame, id_col: str, columns: Sequence[str], *, sup
         sign, det = np.linalg.slogdet(np.atleast_2d(np.cov(pick.T, bias=True)) + 1e-12 * np.eye(x.shape[1]))
         if det < best[0]:
             best = (det, pick.mean(axis=0), np.linalg.pinv(np.atleast_2d(np.cov(pick.T, bias=True))))
-    return _quadratic(df, columns, best[1], best[2], out)
+    n, last, mean, inverse = rows.count(), np.inf, best[1], best[2]
+    h = min(n, max(x.shape[1] + 1, int(support * n)))
+    for _ in range(30):
+        measured = _quadratic(rows.select(*columns), columns, mean, inverse, "__d")
+        limit = kth_values(measured, "__d", [h - 1])[h - 1][0]
+        new_mean, cov = mean_and_covariance(measured.filter(F.col("__d") <= F.lit(limit)), columns)
+        det = np.linalg.slogdet(cov + 1e-12 * np.eye(len(cov)))[1]
+        if not det < last - 1e-9:
+            break
+        last, mean, inverse = det, new_mean, np.linalg.pinv(cov)
+    return _quadratic(df, columns, mean, inverse, out)
 
 
 def path_constant(n: float) -> float:
@@ -196,12 +218,38 @@ def one_class_svm(df: DataFrame, id_col: str, vector: str, *, gamma: float | Non
     return df.withColumn(out, score(vector))
 
 
-def pca_reconstruction(df: DataFrame, id_col: str, vector: str, *, components: int, most: int = 20_000, seed: int = 42, where: Column | None = None, out: str = "error") -> DataFrame:
-    """Mean squared error of the projection on the leading components: the linear autoencoder's optimum."""
-    x = sample_rows(df if where is None else df.filter(where), id_col, vector, most, seed)
-    mean = x.mean(axis=0)
-    _, _, vt = np.linalg.svd(x - mean, full_matrices=False)
-    held = df.sparkSession.sparkContext.broadcast((mean, vt[:components]))
+def vector_moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and population covariance of a vector column, over all rows with a whole vector.
+
+    Every partition sums its vectors about the first vector of the table; sums by place are added up, so one row for each place returns.
+    """
+    sound = df.select(F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x))")
+    first = sound.first()
+    if first is None:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    base = np.array(first["v"])
+    d = len(base)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + d + d * d)
+        for b in batches:
+            if b.num_rows:
+                z = np.array(b.column(0).to_pylist()).reshape(b.num_rows, d) - base
+                total += np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).ravel()])
+        yield pa.RecordBatch.from_pydict({"i": np.arange(len(total)), "s": total})
+
+    got = sound.filter(F.size("v") == d).mapInArrow(sums, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas().sort_values("i")["s"].to_numpy()
+    n, mean = got[0], got[1 : 1 + d] / got[0]
+    return int(n), base + mean, got[1 + d :].reshape(d, d) / n - np.outer(mean, mean)
+
+
+def pca_reconstruction(df: DataFrame, id_col: str, vector: str, *, components: int, where: Column | None = None, out: str = "error") -> DataFrame:
+    """Mean squared error of the projection on the leading components, fitted on all rows (those of ``where``): the linear autoencoder's optimum."""
+    n, mean, cov = vector_moments(df if where is None else df.filter(where), vector)
+    if not n:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    values, vectors = np.linalg.eigh(cov)
+    held = df.sparkSession.sparkContext.broadcast((mean, vectors[:, np.argsort(-values)[:components]].T))
 
     @F.arrow_udf("double")
     def error(vectors: pa.Array) -> pa.Array:
@@ -242,18 +290,86 @@ def self_organizing_map(df: DataFrame, id_col: str, vector: str, *, side: int =
 
 def flagged(df: DataFrame, score: str, contamination: float, out: str = "prediction") -> DataFrame:
     """1 for scores over the exact (1 - contamination) percentile."""
-    cut = df.agg(F.percentile(score, 1 - contamination).alias("__c"))
-    return df.crossJoin(F.broadcast(cut)).withColumn(out, (F.col(score) > F.col("__c")).cast("int")).drop("__c")
+    (cut,) = percentiles(df, score, [1 - contamination])
+    return df.withColumn(out, (F.col(score) > F.lit(cut)).cast("int"))
 
 
 def supervised(train: DataFrame, rows: DataFrame, columns: Sequence[str], label: str, kind: str = "logistic", **settings) -> DataFrame:
-    """``probability`` of the positive class by Spark's logistic regression or gradient-boosted trees."""
+    """``probability`` of the positive class by Spark's logistic regression or gradient-boosted trees.
+
+    Rows with a missing feature teach nothing and have no probability; every row of ``rows`` is returned.
+    """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    ready = VectorAssembler(inputCols=list(columns), outputCol="__x", handleInvalid="skip")
+    ready = {use: VectorAssembler(inputCols=list(columns), outputCol="__x", handleInvalid=use) for use in ("skip", "keep")}
     make = {"logistic": LogisticRegression, "boosted": GBTClassifier}[kind]
-    model = make(featuresCol="__x", labelCol=label, **settings).fit(ready.transform(train))
-    scored = model.transform(ready.transform(rows))
-    return scored.withColumn("__p", vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction").withColumnRenamed("__p", "probability")
+    model = make(featuresCol="__x", labelCol=label, **settings).fit(ready["skip"].transform(train.filter(F.col(label).isNotNull())))
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    scored = model.transform(ready["keep"].transform(rows.withColumn("__whole", whole)))
+    p = F.when(F.col("__whole"), vector_to_array("probability")[1])
+    return scored.withColumn("__p", p).drop("__x", "__whole", "rawPrediction", "probability", "prediction").withColumnRenamed("__p", "probability")
+
+
+def encoder_weights(x: np.ndarray, sizes: Sequence[int], rounds: int, seed: int, rate: float = 1e-3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Layers (weights, offsets) of a dense autoencoder with hidden layers of these sizes and an output like ``x``: hyperbolic tangents but for
+    the output, which is linear; squared error, batches of 32, Adam."""
+    rng = np.random.default_rng(seed)
+    dims = [x.shape[1], *sizes, x.shape[1]]
+    layers = [[rng.normal(0, np.sqrt(2 / (a + b)), (a, b)), np.zeros(b)] for a, b in zip(dims, dims[1:])]
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for layer in layers for p in layer]
+    t = 0
+    for _ in range(rounds):
+        order = rng.permutation(len(x))
+        for at in range(0, len(x), 32):
+            outs = [x[order[at : at + 32]]]
+            for k, (w, b) in enumerate(layers):
+                z = outs[-1] @ w + b
+                outs.append(np.tanh(z) if k + 1 < len(layers) else z)
+            g = 2 * (outs[-1] - outs[0]) / outs[0].size
+            grads = []
+            for k in range(len(layers) - 1, -1, -1):
+                if k + 1 < len(layers):
+                    g = g * (1 - outs[k + 1] ** 2)
+                grads += [g.sum(axis=0), outs[k].T @ g]
+                g = g @ layers[k][0].T
+            t += 1
+            for i, grad in enumerate(reversed(grads)):
+                m, v = moments[i]
+                m += 0.1 * (grad - m)
+                v += 0.001 * (grad**2 - v)
+                layers[i // 2][i % 2] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return [(w, b) for w, b in layers]
+
+
+def latent_classifier(train: DataFrame, rows: DataFrame, id_col: str, vector: str, label: str, *, sizes: Sequence[int] = (50, 25, 50), normals: int = 2_000, rounds: int = 10, seed: int = 42) -> DataFrame:
+    """``probability`` of the positive class of every row, by logistic regression on the middle layer of an autoencoder.
+
+    The autoencoder is fitted on at most ``normals`` labelled normal rows (the first by hash), scaled to 0..1 by their range; the regression on all
+    of ``train``. Every row of ``rows`` is returned, those without a whole vector with no probability.
+    """
+    x = sample_rows(train.filter(F.col(label) == 0).filter(F.col(vector).isNotNull()), id_col, vector, normals, seed)
+    low, high = x.min(axis=0), x.max(axis=0)
+    span = np.where(high > low, high - low, 1.0)
+    middle = len(sizes) // 2 + 1
+    held = rows.sparkSession.sparkContext.broadcast((low, span, encoder_weights((x - low) / span, sizes, rounds, seed)[:middle]))
+
+    @F.arrow_udf("array<double>")
+    def latent(vectors: pa.Array) -> pa.Array:
+        low, span, layers = held.value
+        out = []
+        for v in vectors.to_pylist():
+            whole = v is not None and len(v) == len(low) and None not in v
+            out.append(v if whole else [np.nan] * len(low))
+        z = (np.array(out, float).reshape(len(out), len(low)) - low) / span
+        for w, b in layers:
+            z = np.tanh(z @ w + b)
+        return pa.array(list(z), pa.list_(pa.float64()))
+
+    d = sizes[middle - 1]
+    names = [f"__z{i}" for i in range(d)]
+    both = [f.withColumn("__l", latent(vector)).withColumns({n: F.col("__l")[i] for i, n in enumerate(names)}).drop("__l") for f in (train, rows)]
+    return supervised(*both, names, label).drop(*names)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normcast.functions.scalar import left_closed_bin, ratio
+from normcast.operators.ordered import percentiles
 
 
 def class_balance(df: DataFrame, label: Column) -> DataFrame:
@@ -39,13 +40,14 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def over_percentile(df: DataFrame, column: str, q: float) -> DataFrame:
     """One row: the exact percentile and how many values are over it."""
-    cut = df.agg(F.percentile(column, q).alias("threshold"))
-    return df.crossJoin(F.broadcast(cut)).agg(F.first("threshold").alias("threshold"), F.count_if(F.col(column) > F.col("threshold")).alias("n_over"))
+    (cut,) = percentiles(df, column, [q])
+    return df.agg(F.lit(cut).cast("double").alias("threshold"), F.count_if(F.col(column) > F.lit(cut)).alias("n_over"))
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(feature, n, mean, std, std_population, min, median, max)`` from one aggregate."""
-    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "std_population": F.stddev_pop, "min": F.min, "median": F.median, "max": F.max}
+    """``(feature, n, mean, std, std_population, min, median, max)`` from one aggregate, and the medians from histograms."""
+    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "std_population": F.stddev_pop, "min": F.min, "max": F.max}
+    middle = {c: F.lit(percentiles(df, c, [0.5])[0]).cast("double") for c in columns}
     wide = df.agg(*[f(F.col(c)).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in stats.items()])
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{name}{i}").alias(name) for name in stats]) for i, c in enumerate(columns)])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{name}{i}").alias(name) for name in list(stats)[:5]], middle[c].alias("median"), F.col(f"max{i}").alias("max")) for i, c in enumerate(columns)])
     return wide.select(F.inline(rows))

@@ -9,22 +9,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from normcast.functions.scalar import cosine
 
+def cosine_top(queries: DataFrame, corpus: DataFrame, id_col: str, vector: str, k: int, size: int = 1024) -> DataFrame:
+    """``(query_id, rank, id, similarity)`` of every query's ``k`` most similar other rows, ties to the smaller id.
 
-def cosine_top(queries: DataFrame, corpus: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
-    """``(query_id, rank, id, similarity)``. Filter the corpus first. The queries are a stated, small set."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("__q"))
-    pairs = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("__v")).crossJoin(F.broadcast(q)).filter("id <> query_id")
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-    return pairs.select("query_id", "id", cosine(F.col("__q"), F.col("__v")).alias("similarity")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    Blocks of queries meet blocks of the corpus and each meeting keeps its k best, so neither side is broadcast. A zero vector's similarity is
+    null and comes last. Filter the corpus first.
+    """
+
+    def best(iq, ic, q, c):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            s = q @ c.T / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((c * c).sum(axis=1))[None])
+        s[~np.isfinite(s)] = -2.0
+        s[iq[:, None] == ic[None]] = -np.inf
+        order = np.lexsort((np.broadcast_to(ic, s.shape), -s), axis=1)[:, :k]
+        top = np.take_along_axis(s, order, 1)
+        row, col = np.nonzero(top > -np.inf)
+        found = top[row, col]
+        yield pa.RecordBatch.from_arrays([pa.array(iq[row]), pa.array(ic[order[row, col]]), pa.array(found, mask=found < -1.5)], ["query_id", "id", "similarity"])
+
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "id")
+    return _met(queries, id_col, vector, best, "query_id long, id long, similarity double", size, others=corpus).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def packed_blocks(rows: DataFrame, id_col: str, vector: str, size: int = 1024) -> DataFrame:
-    """``(block, ids, vectors)``: doubles of about ``size`` rows each, dealt by the id's hash."""
+    """``(block, ids, vectors)``: doubles of about ``size`` rows each, dealt by a hash of id and vector."""
     n = rows.count()
     blocks = max(1, -(-n // size))
-    dealt = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    dealt = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         v = np.array(table.column("v").to_pylist(), float)
@@ -33,9 +45,10 @@ def packed_blocks(rows: DataFrame, id_col: str, vector: str, size: int = 1024) -
     return dealt.groupBy("block").applyInArrow(pack, "block long, ids binary, vectors binary, n long")
 
 
-def _met(rows: DataFrame, id_col: str, vector: str, per_pair: Callable, schema: str, size: int, upper: bool = False) -> DataFrame:
+def _met(rows: DataFrame, id_col: str, vector: str, per_pair: Callable, schema: str, size: int, upper: bool = False, others: DataFrame | None = None) -> DataFrame:
     blocks = packed_blocks(rows, id_col, vector, size)
-    a, b = (blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in blocks.columns]) for s in "ab")
+    sides = (blocks, blocks if others is None else packed_blocks(others, id_col, vector, size))
+    a, b = (x.select(*[F.col(c).alias(f"{s}_{c}") for c in x.columns]) for s, x in zip("ab", sides))
     meet = a.join(b, F.col("a_block") <= F.col("b_block")) if upper else a.crossJoin(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

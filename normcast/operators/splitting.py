@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normcast.functions.scalar import salted_rank_key
-from normcast.operators.ordered import among_first
+from normcast.operators.ordered import among_first, order_keys
 from normcast.operators.quality import ContractError, require_columns
 
-#: Rows up to which one task may rank them all.
-ONE_TASK = 1_000_000
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
 
@@ -47,39 +45,29 @@ def cut_points(n: int, train: float, validation: float) -> tuple[int, int]:
     return int(n * train), int(n * (train + validation))
 
 
-def _comparable(df: DataFrame, name: str) -> Column:
-    kind = dict(df.dtypes)[name]
-    x = F.col(name)
-    if kind.startswith("timestamp"):
-        return F.unix_micros(x.cast("timestamp"))
-    return F.when(~F.isnan(x), x) if kind in ("double", "float") else x
+def _keyed(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with numeric columns in whose order it is read: those of the named columns, missing values last, then a hash of the whole row, then its place."""
+    plain = [F.col(f"`{n}`") for n, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    keys = [k for n in names for k in order_keys(df, n)] + [F.xxhash64(*plain), F.monotonically_increasing_id()]
+    own = [f"__k{i}" for i in range(len(keys))]
+    return df.withColumns(dict(zip(own, keys))), own
 
 
-def _ranked_label(df: DataFrame, time_col: str, id_col: str, a: int, b: int) -> DataFrame:
-    rank = F.row_number().over(Window.orderBy(F.col(time_col).asc_nulls_last(), F.col(id_col).asc_nulls_last())) - 1
-    return df.withColumn("split", F.when(rank < a, TRAIN).when(rank < b, VALIDATION).otherwise(TEST))
+def temporal_split(df: DataFrame, time_col: str, id_col: str, train: float = 0.70, validation: float = 0.15) -> Split:
+    """Earliest rows train, the next validate, the latest test: exact counts at every size of table.
 
-
-def _cut_label(df: DataFrame, time_col: str, id_col: str, a: int, b: int) -> DataFrame:
-    keyed = df.withColumn("__t", _comparable(df, time_col)).withColumn("__i", _comparable(df, id_col))
-    timed = keyed.filter(F.col("__t").isNotNull()).select("__t", "__i")
-    if timed.count() < b:
-        raise ContractError("a cut lies among rows without time")
-    first, second = (among_first(timed, ["__t", "__i"], k) for k in (a, b))
-    return keyed.withColumn("split", F.when(first, TRAIN).when(second, VALIDATION).otherwise(TEST)).drop("__t", "__i")
-
-
-def temporal_split(df: DataFrame, time_col: str, id_col: str, train: float = 0.70, validation: float = 0.15, one_task: int = ONE_TASK) -> Split:
-    """Earliest rows train, the next validate, the latest test: exact counts, ties in time broken by id.
-
-    Missing times come last. Up to ``one_task`` rows are ranked by one window; beyond, the two cut
-    keys are found from histograms and every row is compared with them where it lies, without a shuffle.
+    Ties in time are broken by id, rows of one time and id by a hash of all their columns; rows alike in all columns, which
+    are the same on either side of a cut, by their place in the input. Missing times come last, and missing ids last of their time. The two cut keys are
+    found from histograms and every row is compared with them where it lies: no sort and no shuffle of rows.
     """
     cut_points(1, train, validation)
-    require_columns(df, [time_col])
+    require_columns(df, [time_col, id_col])
+    keyed, own = _keyed(df, time_col, id_col)
+    slim = keyed.select(*own)
     n = df.count()
     a, b = cut_points(n, train, validation)
-    rows = (_ranked_label if n <= one_task else _cut_label)(df, time_col, id_col, a, b)
+    first, second = (among_first(slim, own, k) for k in (a, b))
+    rows = keyed.withColumn("split", F.when(first, TRAIN).when(second, VALIDATION).otherwise(TEST)).drop(*own)
     meta = {"train_ratio": train, "validation_ratio": validation, "test_ratio": round(1 - train - validation, 6), "n_train": a, "n_validation": b - a, "n_test": n - b}
     return Split(rows, (), meta)
 
@@ -106,11 +94,25 @@ def normal_rows(df: DataFrame, label: Column) -> DataFrame:
 
 def held_out_normals_with_anomalies(df: DataFrame, label: Column, time_col: str, id_col: str, first: int) -> tuple[DataFrame, DataFrame]:
     """Train: the first normal rows by time, then id; test: the later normal rows and all anomalies. No row is in both."""
-    keyed = df.withColumn("__t", _comparable(df, time_col)).withColumn("__i", _comparable(df, id_col))
+    keyed, own = _keyed(df, time_col, id_col)
     normals = normal_rows(keyed, label)
-    timed = normals.filter(F.col("__t").isNotNull())
-    early = among_first(timed.select("__t", "__i"), ["__t", "__i"], min(first, timed.count()))
-    return normals.filter(early).drop("__t", "__i"), normals.filter(~early).drop("__t", "__i").unionByName(df.filter(label == 1))
+    slim = normals.select(*own)
+    early = among_first(slim, own, min(first, slim.count()))
+    return normals.filter(early).drop(*own), normals.filter(~early).drop(*own).unionByName(df.filter(label == 1))
+
+
+def row_range(df: DataFrame, time_col: str, id_col: str, first: int, last: int) -> DataFrame:
+    """The rows from place ``first`` to place ``last`` (from 0, both included) in the order of ``temporal_split``."""
+    keyed, own = _keyed(df, time_col, id_col)
+    slim = keyed.select(*own)
+    n = slim.count()
+    before, upto = (among_first(slim, own, min(max(k, 0), n)) for k in (first, last + 1))
+    return keyed.filter(upto & ~before).drop(*own)
+
+
+def rows_at(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows with the keys of ``wanted``: one join, never a lookup for each."""
+    return df.join(wanted.select(key), key, "left_semi")
 
 
 def overlap(a: DataFrame, b: DataFrame, id_col: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normcast.functions.scalar import equal_width_bin, right_closed_bin, signed_log
+from normcast.operators.ordered import percentiles
 from normcast.operators.profiling import corrected_skewness
 from normcast.operators.quality import ContractError
 from normcast.operators.splitting import TRAIN, Split
@@ -59,7 +60,8 @@ def tame_skew(df: DataFrame, columns: Sequence[str], over: float = 0.75) -> Data
 
 
 def impute_median(df: DataFrame, column: str) -> DataFrame:
-    return _with_fit(df, F.median(column).alias("__v")).withColumn(column, F.coalesce(column, "__v")).drop("__v")
+    (middle,) = percentiles(df, column, [0.5])
+    return df.withColumn(column, F.coalesce(F.col(column), F.lit(middle)))
 
 
 def impute_random(df: DataFrame, column: str, seed: int) -> DataFrame:
@@ -71,10 +73,8 @@ def impute_random(df: DataFrame, column: str, seed: int) -> DataFrame:
 
 def quantile_bins(df: DataFrame, column: str, out: str, n: int = 4) -> DataFrame:
     """Right-closed bins between exact quantiles."""
-    qs = [i / n for i in range(1, n)]
-    fitted = _with_fit(df, F.percentile(column, qs).alias("__q"))
-    place = reduce(lambda a, i: a + (F.col(column) > F.col("__q")[i]).cast("int"), range(n - 1), F.lit(0))
-    return fitted.withColumn(out, place).drop("__q")
+    cuts = percentiles(df, column, [i / n for i in range(1, n)])
+    return df.withColumn(out, reduce(lambda a, q: a + (F.col(column) > F.lit(q)).cast("int"), cuts, F.lit(0)))
 
 
 def equal_width_bins(df: DataFrame, column: str, out: str, n: int = 5) -> DataFrame:

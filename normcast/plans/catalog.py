@@ -349,12 +349,12 @@ def _vectors(spark, d):
 @query
 def q_cosine_topk(spark, d):
     v = _vectors(spark, d)
-    return rounded(N.cosine_top(v.filter("vec_id < 6"), v.filter("label = 0"), "vec_id", "embedding", 5), "similarity").select("query_id", "rank", "id", "similarity")
+    return rounded(N.cosine_top(v.filter("vec_id % 50 = 0"), v, "vec_id", "embedding", 5), "similarity").select("query_id", "rank", "id", "similarity")
 
 
 @query
 def q_rbf_gram(spark, d):
-    return rounded(N.rbf_gram(_vectors(spark, d).filter("label = 1"), "vec_id", "embedding", 0.5), "k")
+    return rounded(N.rbf_gram(_vectors(spark, d), "vec_id", "embedding", 0.5), "k")
 
 
 @query
@@ -446,7 +446,7 @@ def _pairs(spark, d):
 @query
 def q_zz_kernel(spark, d):
     v = _pairs(spark, d)
-    return K.zz_kernel(v, v.filter("vec_id < 5"), "vec_id", "x").select("id", "anchor", r6("k").alias("k"), "backend", "qubits")
+    return K.zz_kernel(v, v.filter("vec_id % 50 = 0"), "vec_id", "x").select("id", "anchor", r6("k").alias("k"), "backend", "qubits")
 
 
 @query
@@ -478,8 +478,48 @@ def q_evidence(spark, d):
 
 @query
 def q_cases(spark, d):
-    rows = A.cases(A.assessed(_scored(spark, d), "score", LEVELS), "user_id", "event_id", "score", "level", ["MEDIUM", "HIGH"])
-    return rows.select("user_id", "n", r6("priority").alias("priority"), F.concat_ws(",", F.transform("ids", lambda i: i.cast("string"))).alias("ids"))
+    return rounded(A.cases(A.assessed(_scored(spark, d), "score", LEVELS), "user_id", "score", "level", ["MEDIUM", "HIGH"]), "priority")
+
+
+@query
+def q_case_members(spark, d):
+    return A.case_members(A.assessed(_scored(spark, d), "score", LEVELS), "user_id", "event_id", "level", ["MEDIUM", "HIGH"])
+
+
+@query
+def q_row_range(spark, d):
+    return L.row_range(events(spark, d).select("event_id", "user_id", "ts", "value"), "ts", "event_id", 100, 250)
+
+
+@query
+def q_rows_at(spark, d):
+    orders = read_parquet(spark, d, "orders")
+    wanted = read_parquet(spark, d, "lineitem").filter("l_quantity = 50").select(F.col("l_orderkey").alias("o_orderkey"))
+    return L.rows_at(orders, wanted, "o_orderkey").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query
+def q_evidence_rows(spark, d):
+    rows = read_parquet(spark, d, "orders").withColumn("month", F.month("o_orderdate").cast("double"))
+    return rounded(A.expanded(rows, "o_orderkey", ["o_totalprice", "month"], least=1.5), "value", "deviation")
+
+
+@query
+def q_nth_values(spark, d):
+    rows = B.frame_values(events(spark, d), "user_id", "ts", "event_id", "value")
+    return rounded(rows, "second", "around", "without_self").select("event_id", "second", "around", "without_self")
+
+
+@query
+def q_latent_classifier(spark, d):
+    rows = L.hash_split(_vectors(spark, d).withColumn("y", (F.col("label") == 0).cast("int")), "vec_id", 0.25)
+    return D.latent_classifier(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "vec_id", "embedding", "y").select("vec_id", "y", "probability")
+
+
+@query
+def q_kernel_svm(spark, d):
+    rows = L.hash_split(_pairs(spark, d).join(_vectors(spark, d).select("vec_id", (F.col("label") == 0).cast("int").alias("y")), "vec_id"), "vec_id", 0.25)
+    return K.kernel_svm(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "vec_id", "x", "y").select("vec_id", "y", "score")
 
 
 @query

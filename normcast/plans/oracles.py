@@ -113,9 +113,9 @@ q AS (SELECT a::DOUBLE / sum(a) OVER () AS p, d::DOUBLE / sum(d) OVER () AS q FR
     "q_paired_disagreement": f"""WITH {EV}, r AS (SELECT (value > 50)::INTEGER = y AS a, (value > 100)::INTEGER = y AS b FROM e)
 SELECT count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b, count(*) FILTER (NOT a AND NOT b) AS neither FROM r""",
     "q_error_analysis": f"""WITH {EV} SELECT CASE WHEN y = 1 AND value > 50 THEN 'tp' WHEN value > 50 THEN 'fp' WHEN y = 1 THEN 'fn' ELSE 'tn' END AS outcome, (abs(value - 50) <= 5)::INTEGER AS borderline, count(*) AS n FROM e GROUP BY 1, 2""",
-    "q_cosine_topk": f"""WITH {VEC}, c AS (SELECT a.id AS query_id, b.id, list_cosine_similarity(a.v, b.v) AS s FROM v a, v b WHERE a.id < 6 AND b.label = 0 AND a.id <> b.id)
+    "q_cosine_topk": f"""WITH {VEC}, c AS (SELECT a.id AS query_id, b.id, list_cosine_similarity(a.v, b.v) AS s FROM v a, v b WHERE a.id % 50 = 0 AND a.id <> b.id)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id))::INTEGER AS rank, id, round(s, 6) AS similarity FROM c QUALIFY rank <= 5""",
-    "q_rbf_gram": f"WITH {VEC} SELECT a.id AS i, b.id AS j, round(exp(-0.5::DOUBLE * pow({DIST}, 2)), 6) AS k FROM v a, v b WHERE a.label = 1 AND b.label = 1 AND a.id <= b.id",
+    "q_rbf_gram": f"WITH {VEC} SELECT a.id AS i, b.id AS j, round(exp(-0.5::DOUBLE * pow({DIST}, 2)), 6) AS k FROM v a, v b WHERE a.id <= b.id",
     "q_knn": f"WITH {NEAR} SELECT id, other, round(distance, 6) AS distance, rank FROM nn",
     "q_lof": f"""WITH {NEAR}, kd AS (SELECT id, max(distance) AS kd FROM nn GROUP BY id),
 l AS (SELECT nn.id, count(*) / sum(greatest(distance, kd.kd)) AS lrd FROM nn JOIN kd ON kd.id = other GROUP BY nn.id)
@@ -136,7 +136,24 @@ SELECT level, CASE level WHEN 'NORMAL' THEN 'closed' ELSE 'open' END AS state, C
 z AS (SELECT *, (o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER () AS a, (m - avg(m) OVER ()) / stddev_samp(m) OVER () AS b FROM o)
 SELECT o_orderkey, 1::INTEGER AS rank, 'transaction' AS type, CASE WHEN abs(a) >= abs(b) THEN 'o_totalprice' ELSE 'month' END AS feature, round(CASE WHEN abs(a) >= abs(b) THEN o_totalprice ELSE m END, 6) AS value,
 round(CASE WHEN abs(a) >= abs(b) THEN a ELSE b END, 6) AS deviation, CASE WHEN abs(a) >= abs(b) THEN 'o_totalprice' ELSE 'month' END || ' is ' || CASE WHEN CASE WHEN abs(a) >= abs(b) THEN a ELSE b END >= 0 THEN 'above' ELSE 'below' END || ' its mean' AS explanation FROM z""",
-    "q_cases": f"""WITH {SCORED} SELECT user_id, count(*) AS n, round(max(score), 6) AS priority, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM lv WHERE level IN ('MEDIUM', 'HIGH') GROUP BY user_id""",
+    "q_cases": f"""WITH {SCORED} SELECT user_id, count(*) AS n, round(max(score), 6) AS priority FROM lv WHERE level IN ('MEDIUM', 'HIGH') GROUP BY user_id""",
+    "q_case_members": f"WITH {SCORED} SELECT user_id, event_id AS id FROM lv WHERE level IN ('MEDIUM', 'HIGH')",
+    "q_row_range": "SELECT event_id, user_id, ts, value FROM events QUALIFY row_number() OVER (ORDER BY ts NULLS LAST, event_id) - 1 BETWEEN 100 AND 250",
+    "q_rows_at": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)",
+    "q_evidence_rows": """WITH o AS (SELECT o_orderkey, o_totalprice::DOUBLE AS o_totalprice, month(o_orderdate)::DOUBLE AS month FROM orders), f AS (SELECT avg(o_totalprice) AS pm, stddev_samp(o_totalprice) AS ps, avg(month) AS mm, stddev_samp(month) AS ms FROM o),
+l AS (SELECT o_orderkey, 'o_totalprice' AS feature, o_totalprice AS value, (o_totalprice - pm) / ps AS deviation FROM o, f UNION ALL SELECT o_orderkey, 'month', month, (month - mm) / ms FROM o, f)
+SELECT o_orderkey, feature, round(value, 6) AS value, round(deviation, 6) AS deviation FROM l WHERE abs(deviation) >= 1.5""",
+    "q_nth_values": """SELECT event_id, round(nth_value(value, 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS second,
+round(avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS around, round(avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW), 6) AS without_self
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+    "q_zz_kernel": """WITH x AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
+p AS (SELECT id, 2 * a + 2 * (pi() - a) * (pi() - b) AS p1, 2 * b + 2 * (pi() - a) * (pi() - b) AS p2, 2 * a + 2 * b AS p3 FROM x),
+c AS (SELECT *, cos(p1) AS c1, sin(p1) AS s1, cos(p2) AS c2, sin(p2) AS s2, cos(p3) AS c3, sin(p3) AS s3 FROM p),
+h AS (SELECT *, (1 + c1 + c2 + c3) / 4 AS r0, (s1 + s2 + s3) / 4 AS i0, (1 - c1 + c2 - c3) / 4 AS u1, (-s1 + s2 - s3) / 4 AS v1,
+(1 + c1 - c2 - c3) / 4 AS u2, (s1 - s2 - s3) / 4 AS v2, (1 - c1 - c2 + c3) / 4 AS u3, (-s1 - s2 + s3) / 4 AS v3 FROM c),
+q AS (SELECT id, [r0, u1 * c1 - v1 * s1, u2 * c2 - v2 * s2, u3 * c3 - v3 * s3] AS re, [i0, u1 * s1 + v1 * c1, u2 * s2 + v2 * c2, u3 * s3 + v3 * c3] AS im FROM h)
+SELECT q.id, g.id AS anchor, round(pow(list_inner_product(g.re, q.re) + list_inner_product(g.im, q.im), 2) + pow(list_inner_product(g.re, q.im) - list_inner_product(g.im, q.re), 2), 6) AS k,
+'ideal statevector simulation' AS backend, '2' AS qubits FROM q, q g WHERE g.id % 50 = 0""",
     "q_routing": f"WITH {SCORED} SELECT CASE WHEN score BETWEEN 1 AND 2 THEN 'second' ELSE 'first' END AS route, count(*) AS n FROM d WHERE score IS NOT NULL GROUP BY 1",
     "q_fallback": f"WITH {SCORED} SELECT event_id, round(CASE WHEN y = 1 THEN score * 2 ELSE score END, 6) AS score, CASE WHEN y = 1 THEN 'other' ELSE 'classical' END AS method FROM d WHERE score IS NOT NULL",
     "q_overview": f"WITH {SCORED}, t AS (SELECT (row_number() OVER (ORDER BY ts DESC, event_id))::INTEGER AS rank, event_id, user_id, ts, round(score, 6) AS score FROM lv WHERE level = 'HIGH') SELECT * FROM t WHERE rank <= 10",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,24 +35,34 @@ def deduplicated(events: DataFrame, keys: list[str], time: str, late: str = "1 h
 
 
 class RunningBaseline(StatefulProcessor):
-    """Per account: rows, mean and squared deviations so far (Welford); scores each row before it counts."""
+    """Per account: rows, mean and squared deviations so far (Welford); scores each row before it counts.
+
+    An account's rows of one trigger are brought in order together, however many batches they come in (24 bytes a row
+    are held); an earlier time that comes with a later trigger counts from then on. Missing amounts have no score and count for nothing.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "n long, mean double, m2 double")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         n, mean, m2 = self.seen.get() if self.seen.exists() else (0, 0.0, 0.0)
-        for batch in rows:
-            out = []
-            for id_, _, x in sorted(batch[["id", "ts", "amount"]].itertuples(index=False), key=lambda r: (r[1], r[0])):
-                sd = (m2 / (n - 1)) ** 0.5 if n > 1 else 0.0
-                out.append((int(id_), float((x - mean) / sd) if sd > 0 else None))
-                n += 1
-                step = x - mean
-                mean += step / n
-                m2 += step * (x - mean)
-            yield pd.DataFrame(out, columns=["id", "deviation"])
+        held = pd.concat([b[["id", "ts", "amount"]] for b in rows], ignore_index=True).sort_values(["ts", "id"], na_position="first", kind="stable")
+        scores = np.full(len(held), np.nan)
+        for i, x in enumerate(held["amount"].to_numpy(float).tolist()):
+            if x != x:
+                continue
+            sd = (m2 / (n - 1)) ** 0.5 if n > 1 else 0.0
+            if sd > 0:
+                scores[i] = (x - mean) / sd
+            n += 1
+            step = x - mean
+            mean += step / n
+            m2 += step * (x - mean)
         self.seen.update((n, mean, m2))
+        ids = held["id"].to_numpy()
+        for at in range(0, len(ids), 10_000):
+            part = pd.Series(scores[at : at + 10_000])
+            yield pd.DataFrame({"id": ids[at : at + 10_000], "deviation": part.astype(object).where(part.notna(), None)})
 
     def close(self) -> None:
         pass

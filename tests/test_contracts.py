@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from normcast.operators import splitting as L
-from normcast.operators.ordered import kth_smallest, running_totals
+from normcast.operators.ordered import kth_smallest, percentiles, running_totals
 from normcast.operators.quality import ContractError, check_contract, cleaned, conforms, quarantine
 from normcast.operators.transforms import build_features, feature_columns, impute_random, minmax_scale, standard_scale
 from normcast.sources import tables as T
@@ -69,11 +69,58 @@ def test_histogram_cuts_equal_ranks(spark, times):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "id long, t long")
     n = len(times)
     a, b = L.cut_points(n, 0.5, 0.2)
-    if sum(t is not None for t in times) < b:
-        return
-    one = {r["id"]: r["split"] for r in L.temporal_split(df, "t", "id", 0.5, 0.2).rows.collect()}
-    two = {r["id"]: r["split"] for r in L.temporal_split(df, "t", "id", 0.5, 0.2, one_task=0).rows.collect()}
-    assert one == two
+    ranked = sorted(range(n), key=lambda i: (times[i] is None, times[i] or 0, i))
+    want = {i: "train" if k < a else "validation" if k < b else "test" for k, i in enumerate(ranked)}
+    assert {r["id"]: r["split"] for r in L.temporal_split(df, "t", "id", 0.5, 0.2).rows.collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "string", "timestamp", "date"])
+def test_split_counts_hold_for_nulls_ties_and_repeats(spark, kind):
+    """The sizes are exact and the order holds, whatever is missing, tied or repeated."""
+    import datetime as dt
+
+    made = {"long": int, "double": float, "string": lambda x: f"a long name before the number {x:03}"[-28:], "timestamp": lambda x: dt.datetime(2024, 1, 1) + dt.timedelta(x), "date": lambda x: dt.date(2024, 1, 1) + dt.timedelta(x)}[kind]
+    tables = [
+        [(i, None if i % 3 == 0 else made(i // 4)) for i in range(24)],  # a third of the times missing
+        [(None if i % 2 else i, made(i // 8)) for i in range(20)],  # half of the ids missing
+        [(1, made(5))] * 20,  # rows alike
+        [(1, made(5))] * 9 + [(i, made(i)) for i in range(11)],
+        [(i, None) for i in range(10)],
+    ]
+    if kind == "double":
+        tables.append([(i, float("nan") if i % 2 else 1.0 * i) for i in range(20)])
+    for rows in tables:
+        for parts in (1, 3):
+            df = spark.createDataFrame(rows, f"id long, t {kind}").repartition(parts)
+            s = L.temporal_split(df, "t", "id")
+            got = s.rows.collect()
+            by = {name: [r for r in got if r["split"] == name] for name in ("train", "validation", "test")}
+            assert [len(x) for x in by.values()] == [s.metadata[f"n_{x}"] for x in by] and len(got) == len(rows)
+            place = lambda r: (r["t"] is None or r["t"] != r["t"], r["t"] if r["t"] is not None and r["t"] == r["t"] else made(0), r["id"] is None, r["id"] or 0)
+            for x, y in (("train", "validation"), ("validation", "test")):
+                assert not by[x] or not by[y] or max(map(place, by[x])) <= min(map(place, by[y]))
+            assert s.rows.columns == ["id", "t", "split"]
+
+
+def test_row_range_and_rows_at(spark):
+    df = spark.createDataFrame([(i, (7 * i) % 40) for i in range(40)], "id long, t long")
+    ranked = sorted(range(40), key=lambda i: (7 * i) % 40)
+    for first, last in ((0, 0), (10, 15), (30, 99), (-3, 2), (50, 60)):
+        assert sorted(r["id"] for r in L.row_range(df, "t", "id", first, last).collect()) == sorted(ranked[max(first, 0) : last + 1])
+    wanted = spark.createDataFrame([(3,), (3,), (99,), (None,)], "id long")
+    assert [r["id"] for r in L.rows_at(df, wanted, "id").collect()] == [3]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6), st.sampled_from([0.0, 1.0, float("nan")])), max_size=30))
+def test_percentiles_are_exact(spark, values):
+    import numpy as np
+
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    known = [v for v in values if v is not None and v == v]
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = percentiles(df, "x", shares)
+    assert got == [None] * 6 if not known else np.allclose(got, np.quantile(known, shares), rtol=1e-12, atol=1e-9)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -96,9 +143,10 @@ def test_running_totals_over_ranges(spark):
 
 def test_histogram_cuts_on_real_events(spark, small):
     e = spark.read.parquet(f"{small}/events.parquet").select("event_id", "ts")
-    a = L.temporal_split(e, "ts", "event_id").rows
-    b = L.temporal_split(e, "ts", "event_id", one_task=0).rows
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    n, ranked = e.count(), e.orderBy("ts", "event_id").collect()
+    a, b = L.cut_points(n, 0.7, 0.15)
+    want = {r["event_id"]: "train" if k < a else "validation" if k < b else "test" for k, r in enumerate(ranked)}
+    assert {r["event_id"]: r["split"] for r in L.temporal_split(e, "ts", "event_id").rows.collect()} == want
 
 
 def test_missing_times_go_to_test(spark):

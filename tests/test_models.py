@@ -6,6 +6,7 @@ from normcast.operators import assess as A
 from normcast.operators import behavior as B
 from normcast.operators import detectors as D
 from normcast.operators import metrics as M
+from normcast.operators import quantum as Q
 from normcast.operators import similarity as N
 from normcast.operators import transforms as X
 
@@ -82,6 +83,65 @@ def test_assessment(spark):
     df = spark.createDataFrame([(1, 7, 2.5), (2, 7, 1.0), (3, 8, None), (4, 7, 3.0)], "id int, account int, score double")
     rows = A.assessed(df, "score", p)
     assert {r["id"]: r["level"] for r in rows.collect()} == {1: "HIGH", 2: "NORMAL", 3: None, 4: "HIGH"}
-    c = A.cases(rows, "account", "id", "score", "level", ["HIGH"], most_ids=1).first()
-    assert (c["n"], c["priority"], c["ids"]) == (2, 3.0, [1])
-    assert A.case_members(A.cases(rows, "account", "id", "score", "level", ["HIGH"]), "account").count() == 2
+    c = A.cases(rows, "account", "score", "level", ["HIGH"]).first()
+    assert (c["n"], c["priority"]) == (2, 3.0)
+    many = spark.range(3000).select("id", F.lit(7).alias("account"), F.lit("HIGH").alias("level"))
+    assert A.case_members(many, "account", "id", "level", ["HIGH"]).distinct().count() == 3000
+
+
+def test_supervised_scores_every_row(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, float(x), float(y), int(x + y > 0)) for i, (x, y) in enumerate(rng.normal(size=(80, 2)))]
+    train = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    more = spark.createDataFrame([(100, None, 1.0, 1), (101, float("nan"), 1.0, None), (102, 3.0, 3.0, None), (103, -3.0, -3.0, None)], train.schema)
+    for kind in ("logistic", "boosted"):
+        p = {r["id"]: r["probability"] for r in D.supervised(train.union(more), more, ["a", "b"], "y", kind).collect()}
+        assert p[100] is None and p[101] is None and p[102] > 0.8 and p[103] < 0.2
+
+
+def test_fits_without_labels_read_all_rows(spark):
+    """The mean and covariance of all rows, not of a sample of them."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 3)) @ np.array([[2, 0, 0], [1, 1, 0], [0, 0.5, 0.1]]) + [3, -1, 1e6]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, v array<double>").repartition(7)
+    n, mean, cov = D.vector_moments(df, "v")
+    assert n == 500 and np.allclose(mean, x.mean(axis=0)) and np.allclose(cov, np.cov(x.T, bias=True), atol=1e-6)
+    error = {r["id"]: r["error"] for r in D.pca_reconstruction(df.filter("v IS NOT NULL"), "id", "v", components=1).collect()}
+    vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:1]
+    z = x - x.mean(axis=0)
+    assert np.allclose([error[i] for i in range(500)], ((z - z @ vt.T @ vt) ** 2).mean(axis=1), atol=1e-6)
+    y = rng.normal(size=(400, 2))
+    y[:60] = rng.normal(size=(60, 2)) * 0.1 + 12
+    wide = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(y)], "id long, a double, b double")
+    d = {r["id"]: r["distance"] for r in D.elliptic_envelope(wide, "id", ["a", "b"], most=100).collect()}
+    assert min(d[i] for i in range(60)) > max(d[i] for i in range(60, 400))
+
+
+def test_latent_classifier_and_kernel_machine(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=6) * 0.3 + (2 if i % 4 == 0 else 0)).tolist(), int(i % 4 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int")
+    got = D.latent_classifier(df.filter("id < 150"), df.filter("id >= 150").union(spark.createDataFrame([(500, None, None)], df.schema)), "id", "v", "y", sizes=(8, 4, 8), rounds=5).collect()
+    assert len(got) == 51 and all((r["probability"] > 0.5) == (r["id"] % 4 == 0) if r["id"] != 500 else r["probability"] is None for r in got)
+    x = rng.normal(size=(60, 2))
+    y = np.where((x**2).sum(axis=1) > 1.2, 1.0, -1.0)
+    gram = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1))
+    w, b = Q.solve_two_class(gram, y, 10.0)
+    assert abs(w.sum()) < 1e-9 and (np.abs(w) <= 10 + 1e-9).all() and (y * w >= -1e-12).all()
+    margin = y * (gram @ w + b)
+    assert (margin[(np.abs(w) > 1e-6) & (np.abs(w) < 10 - 1e-6)].round(2) == 1).all() and (margin > 0).mean() > 0.95
+    near = C.fidelity(C.zz_state(x), C.zz_state(x[:1]))[:, 0]  # parted by a plane of the kernel's space
+    rows = spark.createDataFrame([(i, v.tolist(), int(k > np.median(near))) for i, (v, k) in enumerate(zip(x, near))], "id long, v array<double>, y int")
+    scored = Q.kernel_svm(rows, rows, "id", "v", "y", cost=1000.0).collect()
+    assert np.mean([(r["score"] > 0) == (r["y"] == 1) for r in scored]) > 0.95
+
+
+def test_kernel_blocks_and_experiment_log(spark, tmp_path):
+    df = spark.createDataFrame([(i, [i / 10, 1 - i / 7]) for i in range(12)], "id long, v array<double>")
+    one, many = ({(r["id"], r["anchor"]): r["k"] for r in Q.zz_kernel(df, df.filter("id < 7"), "id", "v", block=b).collect()} for b in (100, 2))
+    assert set(one) == set(many) and len(one) == 84 and all(abs(many[x] - k) < 1e-9 for x, k in one.items())
+    assert Q.zz_kernel(df, df.limit(0), "id", "v").count() == 0
+    A.log_experiment(spark, f"{tmp_path}/log", id="a", seed=3, metrics={"auc": 0.5})
+    A.log_experiment(spark, f"{tmp_path}/log", id="b", hypothesis="h")
+    got = {r["id"]: r for r in A.experiments(spark, f"{tmp_path}/log").collect()}
+    assert got["a"]["metrics"] == '{"auc": 0.5}' and got["a"]["seed"] == "3" and got["b"]["hypothesis"] == "h"

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from normcast.operators import behavior as B
 from normcast.streaming import twins as W
 
 
@@ -47,6 +48,26 @@ def test_running_baseline(spark, source, tmp_path):
     assert got.count() == e.count() and got.filter("deviation IS NOT NULL").count() > 0
 
 
+@pytest.mark.parametrize("rows", [1, 10, 10_000])
+def test_running_baseline_equals_batch_form(spark, source, tmp_path, rows):
+    """Whatever the size of Arrow batches, and with missing amounts."""
+    path, e = source
+    e = e.withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    e.repartition(3).write.mode("overwrite").parquet(f"{path}-nulls")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        stream = W.running_deviation(W.event_stream(spark, f"{path}-nulls", e.schema), "user_id", "event_id", "ts", "value")
+        got = {r["id"]: r["deviation"] for r in W.run_once(stream, f"deviations_{rows}", str(tmp_path / "c")).collect()}
+    finally:
+        spark.conf.set(name, before)
+    want = {r["event_id"]: r["amount_deviation"] for r in B.amount_deviation(e, "user_id", "ts", "event_id", "value").collect()}
+    assert set(got) == set(want)
+    for i, x in want.items():
+        assert (got[i] is None) == (x is None) and (x is None or abs(got[i] - x) < 1e-6 * max(1, abs(x)))
+
+
 def test_stream_joins(spark, source, tmp_path):
     path, e = source
     fitted = e.groupBy("user_id").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
