@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from normcast.llm.encoding import in_slices, shared_encoder
-from normcast.llm.scratch import small_batches
+from normcast.llm.scratch import small_batches, tidied
 
 _PIECES = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("tokens", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_arrays([pa.array(cols[0], id_arrow), *(pa.array(c, f.type) for c, f in zip(cols[1:], _PIECES))], [id_col, *_PIECES.names])
 
         id_arrow = pa.int64()
-        for b in batches:
+        for b in tidied(batches):
             ids, id_arrow = b.column(0).to_pylist(), b.column(0).type
             for lo, hi in in_slices(b.column(1)):
                 bounds, tokens = encoder.encode_batch(b.column(1).slice(lo, hi - lo))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normcast.llm.encoding import in_slices, whole
-from normcast.llm.scratch import dropped, hash_sample, small_batches, written
+from normcast.llm.scratch import dropped, hash_sample, small_batches, tidied, written
 
 #: Keys are whole numbers of 2 ** -20, so sums and comparisons are exact.
 UNIT = 1 << 20
@@ -73,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, buckets), np.int64)
-        for b in batches:
+        for b in tidied(batches):
             ids = b.column(0).to_pylist()
             for lo, hi in in_slices(b.column(1), _SLICE):
                 owner, grams = hashed_grams(b.column(1).slice(lo, hi - lo), buckets)
@@ -116,7 +116,7 @@ def is_toxic(text: F.Column, words: dict[str, float]) -> F.Column:
 
     @F.arrow_udf("boolean")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in tidied(batches):
             out = np.zeros(len(texts), bool)
             for lo, hi in in_slices(texts, _SLICE):
                 parts = pc.split_pattern_regex(pc.utf8_lower(whole(texts.slice(lo, hi - lo))), r"[^\pL]+")
@@ -137,7 +137,7 @@ def log_weights(text: F.Column, weights: np.ndarray) -> F.Column:
 
     @F.arrow_udf("struct<total: long, n: long>")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in tidied(batches):
             total, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for lo, hi in in_slices(texts, _SLICE):
                 owner, grams = hashed_grams(texts.slice(lo, hi - lo), len(weights))

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as in local tests."""
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder if all tasks run on this machine, as in tests, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="normcast-")
@@ -51,15 +59,40 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows to a batch between Spark and Python: at some KB a text, a batch stays small beside a worker's memory.
-BATCH_ROWS = 2_000
+#: Settings that bound what a task holds of long texts at once, and their most: rows and bytes of a batch between Spark and
+#: Python, and rows of a batch of the Parquet reader.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 2_000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
+    "spark.sql.parquet.columnarReaderBatchSize": 512,
+}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to ``BATCH_ROWS`` rows; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Hold the session's batches to ``BATCHES``; smaller settings stay.
+
+    They change no result. They also stay when an operator has returned, as its result is planned when its caller runs it.
+    """
+    for name, most in BATCHES.items():
+        if not 0 < int(re.sub(r"\D", "", spark.conf.get(name)) or 0) <= most:
+            spark.conf.set(name, most)
+
+
+def tidied(batches: Iterator[T]) -> Iterator[T]:
+    """The batches of a task in a Python worker, which gives free memory back to the machine now and then and at the end."""
+    for i, b in enumerate(batches, 1):
+        yield b
+        if i % 16 == 0:
+            _give_back()
+    _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than GNU's
+        pass
 
 
 def hash_sample(ids: DataFrame, most: int) -> DataFrame:

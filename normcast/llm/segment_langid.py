@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from normcast.llm.encoding import in_slices, whole
-from normcast.llm.scratch import small_batches
+from normcast.llm.scratch import small_batches, tidied
 
 UNDETERMINED = "und"
 _MARK = "▁"
@@ -34,7 +34,7 @@ _LONG = 48
 #: Bytes of the longest word whose log probabilities are kept.
 _KEPT_BYTES = 64
 #: Words that go through a forward pass together.
-_TOGETHER = 20_000
+_TOGETHER = 8_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -265,7 +265,7 @@ def predictions(text: F.Column, languages: list[str], probabilities: np.ndarray,
             letters = pc.match_substring_regex(flat, r"\pL").to_numpy(zero_copy_only=False)
             return [np.where(letters, best, len(languages)), np.where(letters, score, 0.0), np.where(letters & np.isfinite(ratio), ratio, 0.0)]
 
-        for texts in batches:
+        for texts in tidied(batches):
             if languages:
                 found = [judged(texts.slice(lo, hi - lo)) for lo, hi in in_slices(texts, 2 << 20)]
                 best, score, fit_ = (np.concatenate(x) if x else np.zeros(0) for x in (zip(*found) if found else ((), (), ())))

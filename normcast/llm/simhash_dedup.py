@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normcast.llm.scratch import dropped, joined, shuffle_width, small_batches, written
+from normcast.llm.scratch import dropped, joined, shuffle_width, small_batches, tidied, written
 
 #: Shingles whose bits are counted at once.
 _STEP = 1 << 16
@@ -41,7 +41,7 @@ def fingerprints(text: F.Column, width: int = 3, seed: int = 42) -> F.Column:
 
     @F.arrow_udf("long")
     def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in tidied(batches):
             yield pa.array(np.fromiter((fingerprint(t.as_py() or b"", width, seed) for t in texts), np.uint64, len(texts)).view(np.int64))
 
     return simhash(text.cast("binary"))

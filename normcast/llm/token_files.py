@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from normcast.llm.encoding import in_slices, shared_encoder
-from normcast.llm.scratch import shuffle_width, small_batches
+from normcast.llm.scratch import shuffle_width, small_batches, tidied
 
 _WRITTEN = "part long, n_docs long, n_tokens long"
 
@@ -105,7 +105,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, part = None, None, TaskContext.get().partitionId()
-        for b in batches:
+        for b in tidied(batches):
             if not b.num_rows:
                 continue
             if writer is None:
