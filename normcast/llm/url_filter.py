@@ -1,10 +1,11 @@
 """URL filters: rules on hosts and paths, then naive Bayes over segmented host and path tokens.
 
 A host's labels are cut into words by a unigram Viterbi pass: the words and their ranks come from a
-public vocabulary, a word's probability falls with its rank, and the most probable cut wins. URLs
-whose segmented host holds a seed word of an unwanted kind are the positive examples of a multinomial naive
-Bayes model, all other URLs the negative ones; the model then scores every URL by all its tokens, so
-words that keep company with the seeds come to count as well.
+public vocabulary, a word's probability falls with its rank, and the most probable cut wins. The URLs that a rule
+decides are labelled examples for a multinomial naive Bayes model, without what the rule itself looks at; of the other URLs
+those whose segmented host holds a seed word are further examples of the unwanted kind, and the rest stand for the wanted one (without
+seeds these others teach nothing).
+The model then scores every URL by all its tokens, so words that keep company with blocked URLs and seeds come to count as well.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of the host names of unwanted sites (gambling, pills, spam, advertising and tracking, adult).
+#: Words of the host names of unwanted sites (gambling, pills, spam, advertising and tracking, adult): a choice, not a standard.
 SEED_WORDS = ("ads", "bet", "bets", "betting", "casino", "gambling", "jackpot", "lottery", "pills", "poker", "porn", "sex", "spam", "viagra", "xxx")
 _TOKEN = re.compile(r"[a-z]+|[0-9]+")
 
@@ -37,13 +38,18 @@ def path_of(url: F.Column) -> F.Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _rest_of_host(host: F.Column, own: str) -> F.Column:
+    return host.substr(F.lit(1), F.length(host) - F.lit(len(own)))
+
+
 def rule_of(host: F.Column, path: F.Column, rules: Sequence[tuple[str, str]]) -> F.Column:
-    """``struct(rule, verdict)`` of the longest fitting rule, else null. A rule is ``(verdict, "host/path")``."""
-    out = F.lit(None).cast("struct<rule:string,verdict:string>")
+    """``struct(rule, verdict, host, path)`` of the longest fitting rule, else null: host and path without the part that
+    the rule looks at. A rule is ``(verdict, "host/path")``."""
+    out = F.lit(None).cast("struct<rule:string,verdict:string,host:string,path:string>")
     for verdict, rule in sorted(rules, key=lambda r: len(r[1])):
         own, _, start = rule.partition("/")
         fits = ((host == own) | host.endswith("." + own)) & path.startswith("/" + start)
-        out = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
+        out = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"), _rest_of_host(host, own).alias("host"), F.substring(path, len(start) + 2, 1 << 30).alias("path"))).otherwise(out)
     return out
 
 
@@ -61,7 +67,7 @@ class Segmenter:
         names = [t[:-4] for t, _ in ranked if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha() and (len(t) > 5 or t[0] in "ai")]
         total = sum(1 / (r + 10) for r in range(len(names)))
         self.cost = {w: math.log(total * (r + 10)) for r, w in enumerate(names)}
-        self.longest, self.keep, self.known = longest, keep, {}
+        self.longest, self.keep, self.known, self.longest_kept = longest, keep, {}, 64
 
     def _cut(self, name: str) -> tuple[str, ...]:
         best = [(0.0, 0, 0)]
@@ -81,9 +87,11 @@ class Segmenter:
     def words(self, name: str) -> tuple[str, ...]:
         got = self.known.get(name)
         if got is None:
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            got = self.known[name] = self._cut(name)
+            got = self._cut(name)
+            if len(name) <= self.longest_kept:
+                if len(self.known) >= self.keep:
+                    self.known.clear()
+                self.known[name] = got
         return got
 
     def tokens(self, host: str, path: str) -> tuple[list[str], list[str]]:
@@ -98,9 +106,9 @@ def _bucket(token: str, buckets: int) -> int:
 
 
 def fit(urls: DataFrame, vocabulary: str, seeds: Sequence[str], buckets: int, smoothing: float) -> tuple[float, np.ndarray]:
-    """Prior log odds and each token bucket's log odds of the unwanted class, from every row of ``(host, path)``.
+    """Prior log odds and each token bucket's log odds of the unwanted class, from every row of ``(host, path, verdict)``.
 
-    Smoothing is over the buckets seen; others weigh nothing. What returns to the driver is one row
+    A row with a verdict is of its class; others are unwanted where the host holds a seed word, else wanted, and teach nothing without seeds. Smoothing is over the buckets seen; others weigh nothing. What returns to the driver is one row
     for each bucket, and two counts.
     """
     unwanted = frozenset(seeds)
@@ -108,9 +116,11 @@ def fit(urls: DataFrame, vocabulary: str, seeds: Sequence[str], buckets: int, sm
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter, sums = Segmenter(vocabulary), np.zeros((2, buckets + 1), np.int64)
         for b in batches:
-            for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for host, path, verdict in zip(*(c.to_pylist() for c in b.columns)):
                 hosts, paths = segmenter.tokens(host, path)
-                k = int(not unwanted.isdisjoint(hosts))
+                if not (verdict or unwanted):
+                    continue
+                k = int(verdict == "block" if verdict else not unwanted.isdisjoint(hosts))
                 sums[k, buckets] += 1
                 for t in (*hosts, *paths):
                     sums[k, _bucket(t, buckets)] += 1
@@ -133,13 +143,15 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], vocabulary: str, *
     """``(id, host, path, rule, verdict, log_odds)`` of every row.
 
     The longest fitting rule gives the verdict and its name; without one, ``rule`` is null and the
-    model blocks where its log odds are over 0. URLs that are null or lack ``://`` have an empty host
+    model blocks where its log odds are over 0. The model learns from all rows: those that rules decide, less what the rule looks at, and the others by their seed words. URLs that are null or lack ``://`` have an empty host
     and path, no token, and the prior decides. Repeated rows are judged alike, each with its row; null ids
     are kept. An empty table gives no row. Other columns are ignored.
     """
     url = F.col(url_col)
     parts = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    prior, odds = fit(parts.select("host", "path"), vocabulary, seeds, buckets, smoothing)
+    parts = parts.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    learnt = parts.select(F.coalesce("r.host", "host").alias("host"), F.coalesce("r.path", "path").alias("path"), F.col("r.verdict").alias("verdict"))
+    prior, odds = fit(learnt, vocabulary, seeds, buckets, smoothing)
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -151,6 +163,6 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], vocabulary: str, *
                 out.append(prior + sum(float(odds[_bucket(t, buckets)]) for t in (*own, *more)))
             yield pa.array(out, pa.float64())
 
-    ruled = parts.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("log_odds", scored("host", "path"))
+    ruled = parts.withColumn("log_odds", scored("host", "path"))
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
     return ruled.select("id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "log_odds")

@@ -112,6 +112,38 @@ def test_scores_equal_a_plain_model(spark):
         assert abs(got[i] - want) < 1e-9
 
 
+def test_rules_teach_what_they_do_not_look_at(spark):
+    """Hosts that rules block and allow share words with hosts that no rule names: most of those are judged rightly, without any seed word."""
+    rng = np.random.default_rng(4)
+    bad, good = ("casino", "poker", "jackpot", "win", "bonus", "slots"), ("garden", "history", "school", "music", "river", "museum")
+    hosts, urls, truth = set(), [], []
+    rules = []
+    for i in range(120):
+        words = bad if i % 3 == 0 else good
+        host = "".join(rng.choice(words, 2, replace=False)) + str(i) + ".net"
+        if i < 60:
+            rules.append(("block" if i % 3 == 0 else "allow", f"www.{host}/"[4:] if i % 2 else f"{host}/{rng.choice(words)}"))
+        for _ in range(4):
+            urls.append(f"http://www.{host}/{rng.choice(words)}/{rng.choice(words)}/{rng.integers(1000)}")
+            truth.append((i, "block" if i % 3 == 0 else "allow"))
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["id"]: r for r in judge(df, rules, WORDS, seeds=()).collect()}
+    held = [k for k, (i, _) in enumerate(truth) if i >= 60]
+    assert all(got[k]["rule"] is None for k in held)
+    assert np.mean([got[k]["verdict"] == truth[k][1] for k in held]) > 0.95
+    # what a rule looks at teaches nothing: the host alone, as all it leaves is empty
+    only = spark.createDataFrame([(i, f"http://{'a' if i < 5 else 'b'}.org/") for i in range(10)], "page_id long, url string")
+    odds = {r["id"]: r["log_odds"] for r in judge(only, (("block", "a.org/"), ("allow", "b.org/")), WORDS, seeds=()).collect()}
+    assert len(set(odds.values())) == 1
+
+
+def test_very_long_hosts(spark):
+    hosts = ["x" * 50_000 + ".net", "casino" * 2_000 + ".com", ".".join(["a"] * 20_000)]
+    df = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r["id"]: r for r in judge(df, URL_RULES, WORDS).collect()}
+    assert [got[i]["host"] for i in range(3)] == hosts and all(np.isfinite(r["log_odds"]) for r in got.values())
+
+
 def test_viterbi_is_the_cheapest_cut():
     s = Segmenter(WORDS)
     assert s.words("cheappills") == ("cheap", "pills")
