@@ -56,6 +56,8 @@ def thresholds(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
     of equal hash) at the boundary is taken where that comes nearer to the budget.
     Smaller budgets take subsets of what larger ones take.
     """
+    if most < 1 or most != int(most):
+        raise ValueError(f"the most must be a whole number of times, not {most}")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     plan = written(plan.withColumn("times", times).withColumn("left", F.col("target") - F.col("times") * F.col("source_size")), "plan")
@@ -86,7 +88,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     Size is words. Whole rows are taken, never parts, so a source misses its target by at most half
     of the size at the boundary. Null texts have size 0, null sources are one source, null ids hash
     by their text. Repeated rows and ids share a hash and are taken alike. An empty table gives no
-    row. Other columns are ignored.
+    row. Other columns are ignored. ``most`` is a whole number, else a ValueError. Sources are ranked by one task, a row each: for some millions of them at most.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col), F.col(text_col), seed).alias("h"))
     rows = written(rows, "sizes")

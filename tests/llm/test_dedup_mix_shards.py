@@ -187,3 +187,28 @@ def test_all_ten_run(spark, small):
     made = {n: f(spark, small).count() for n, f in queries().items()}
     assert len(made) == 10 and all(made.values())
     assert np.array([made[n] for n in made if n not in ("op1_topk_search", "op3_url_filter", "op4_harmonic_packing")]).tolist() == [200] * 7
+
+
+def test_most_is_a_whole_number(spark):
+    for most in (1.5, 0.5, 0):
+        with pytest.raises(ValueError):
+            H.mix(edge_frame(spark), most=most)
+    taken = H.mix(edge_frame(spark), most=3.0, share=2.5)
+    assert taken.agg(F.max(F.expr("try_divide(taken, size)"))).first()[0] <= 3
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from normcast.llm.scratch import shared_dir
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda name, *_: folder)
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}", getConf=lambda: SimpleNamespace(get=lambda name: None))
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    assert shared_dir(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(session("local[8]")).startswith("file://")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
