@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normcast.functions.scalar import equal_width_bin, right_closed_bin, signed_log
+from normcast.functions.scalar import coded, equal_width_bin, flag, replaced, right_closed_bin, signed_log
 from normcast.operators.ordered import percentiles
 from normcast.operators.profiling import corrected_skewness
 from normcast.operators.quality import ContractError
@@ -121,3 +121,36 @@ def pca(df: DataFrame, columns: Sequence[str], k: int, prefix: str = "pc") -> tu
     z = [(F.col(c) - F.lit(float(stats[f"m{i}"] or 0.0))) / F.lit(float(sd[i])) for i, c in enumerate(columns)]
     scores = {f"{prefix}{n + 1}": reduce(lambda a, b: a + b, [z[i] * F.lit(float(load[i, n])) for i in range(d)]) for n in range(len(order))}
     return df.withColumns(scores), values[order] / max(values.sum(), 1e-300)
+
+
+#: Fixed values of the passenger features: titles that count as one, codes, and right-closed edges.
+TITLE_GROUPS = {"Rare": ("Lady", "Countess", "Capt", "Col", "Don", "Dr", "Major", "Rev", "Sir", "Jonkheer", "Dona"), "Miss": ("Mlle", "Ms"), "Mrs": ("Mme",)}
+TITLE_CODES = {"Mr": 1, "Miss": 2, "Mrs": 3, "Master": 4, "Rare": 5}
+SEX_CODES = {"female": 0, "male": 1}
+PORT_CODES = {"S": 0, "C": 1, "Q": 2}
+FARE_EDGES = (7.91, 14.454, 31)
+AGE_EDGES = (16, 32, 48, 64)
+
+
+def passenger_features(rows: DataFrame, train: DataFrame, seed: int = 42) -> DataFrame:
+    """Numeric features of a passenger list (columns ``Name Sex Age SibSp Parch Fare Cabin Embarked``), fitted on ``train``.
+
+    Length of the name, whether a cabin is known, size of the family and whether the passenger is alone, codes of title, sex and port
+    (unknown port: S; unknown title or sex: 0), fare in bins (missing: the median fare of ``train``) and age in bins (missing: drawn as by
+    ``impute_random`` from the rows' own mean and deviation). Identifying columns are dropped, others stay.
+    """
+    (fare,) = percentiles(train, "Fare", [0.5])
+    family = F.coalesce("SibSp", F.lit(0)) + F.coalesce("Parch", F.lit(0)) + 1
+    title = replaced(F.regexp_extract(F.coalesce("Name", F.lit("")), r" ([A-Za-z]+)\.", 1), TITLE_GROUPS)
+    out = impute_random(rows, "Age", seed).withColumns({
+        "Name_length": F.length("Name"),
+        "Has_Cabin": flag(F.col("Cabin").isNotNull()),
+        "FamilySize": family,
+        "IsAlone": flag(family == 1),
+        "Title": coded(title, TITLE_CODES),
+        "Sex": coded(F.col("Sex"), SEX_CODES),
+        "Embarked": coded(F.coalesce("Embarked", F.lit("S")), PORT_CODES),
+        "Fare": right_closed_bin(F.coalesce("Fare", F.lit(fare)), FARE_EDGES),
+        "Age": right_closed_bin(F.col("Age").cast("int"), AGE_EDGES),
+    })
+    return out.drop("PassengerId", "Name", "Ticket", "Cabin", "SibSp")

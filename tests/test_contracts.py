@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from normcast.operators import splitting as L
 from normcast.operators.ordered import kth_smallest, percentiles, running_totals
 from normcast.operators.quality import ContractError, check_contract, cleaned, conforms, quarantine
-from normcast.operators.transforms import build_features, feature_columns, impute_random, minmax_scale, standard_scale
+from normcast.operators.transforms import build_features, feature_columns, impute_random, minmax_scale, passenger_features, standard_scale
 from normcast.sources import tables as T
 
 NEED = ("Time", "Amount", "Class")
@@ -231,3 +231,22 @@ def test_small_operators(spark, frame):
     assert all(r["b"] is not None and not math.isnan(r["b"]) for r in filled)
     assert T.two_moons(spark).count() == 100
     assert abs(sum(v * v for v in T.digit_images(spark, 3).first()["pixels"]) - 1) < 1e-9
+
+
+def test_passenger_features(spark):
+    schema = "PassengerId int, Name string, Sex string, Age double, SibSp int, Parch int, Ticket string, Fare double, Cabin string, Embarked string, Survived int"
+    rows = [
+        (1, "Doe, Mr. Jonathan", "male", 16.0, 0, 0, "t", 7.91, None, "S", 0),
+        (2, "Roe, Dr. Ann", "female", 16.5, 1, 2, "t", 14.454, "C1", "C", 1),
+        (3, "Poe, Mlle. Eva", "female", 65.0, 0, 0, "t", 31.0, None, None, 1),
+        (4, "No title here at all", "male", None, 0, 1, "t", None, "D", "Q", 0),
+        (5, "Loe, Mme. Ida", "female", 48.0, 0, 0, "t", 500.0, None, "S", 1),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {r["Name_length"]: r for r in passenger_features(df, df).collect()}
+    john, ann, eva, none, ida = (got[len(r[1])] for r in rows)
+    assert set(john.asDict()) == {"Sex", "Age", "Parch", "Fare", "Embarked", "Survived", "Name_length", "Has_Cabin", "FamilySize", "IsAlone", "Title"}
+    assert [r["Title"] for r in (john, ann, eva, none, ida)] == [1, 5, 2, 0, 3]
+    assert [r["Fare"] for r in (john, ann, eva, none, ida)] == [0, 1, 2, 2, 3]
+    assert [r["Age"] for r in (john, ann, eva, ida)] == [0, 0, 4, 2] and none["Age"] in range(5)
+    assert [(r["Sex"], r["Embarked"], r["Has_Cabin"], r["FamilySize"], r["IsAlone"]) for r in (john, ann, none)] == [(1, 0, 0, 1, 1), (0, 1, 1, 4, 0), (1, 2, 1, 2, 0)]
