@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normcast.functions.scalar import coded, equal_width_bin, flag, replaced, right_closed_bin, signed_log
+from normcast.functions.scalar import coded, dot, equal_width_bin, flag, replaced, right_closed_bin, signed_log
+from normcast.operators.detectors import vector_moments
 from normcast.operators.ordered import percentiles
 from normcast.operators.profiling import corrected_skewness
 from normcast.operators.quality import ContractError
@@ -123,6 +124,19 @@ def pca(df: DataFrame, columns: Sequence[str], k: int, prefix: str = "pc") -> tu
     return df.withColumns(scores), values[order] / max(values.sum(), 1e-300)
 
 
+def vector_pca(df: DataFrame, vector: str, k: int, prefix: str = "pc") -> tuple[DataFrame, np.ndarray]:
+    """``pca`` of a vector column's standardised components, all of them: the moments are summed by place, the scores are expressions."""
+    _, mean, cov = vector_moments(df, vector)
+    sd = np.sqrt(np.where(np.diag(cov) > 0, np.diag(cov), 1.0))
+    values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
+    order = np.argsort(-values)[:k]
+    load = vectors[:, order]
+    load = load * np.sign(load[np.abs(load).argmax(axis=0), range(len(order))])
+    weights = load / sd[:, None]
+    scores = {f"{prefix}{n + 1}": dot(F.col(vector), F.array(*[F.lit(float(w)) for w in weights[:, n]])) - F.lit(float(mean @ weights[:, n])) for n in range(len(order))}
+    return df.withColumns(scores), values[order] / max(values.sum(), 1e-300)
+
+
 #: Fixed values of the passenger features: titles that count as one, codes, and right-closed edges.
 TITLE_GROUPS = {"Rare": ("Lady", "Countess", "Capt", "Col", "Don", "Dr", "Major", "Rev", "Sir", "Jonkheer", "Dona"), "Miss": ("Mlle", "Ms"), "Mrs": ("Mme",)}
 TITLE_CODES = {"Mr": 1, "Miss": 2, "Mrs": 3, "Master": 4, "Rare": 5}

@@ -417,25 +417,25 @@ def q_som(spark, d):
 
 @query
 def q_pca(spark, d):
-    rows, _ = X.pca(vector_columns(_vectors(spark, d), "embedding", 8), [f"V{i}" for i in range(1, 9)], 3)
+    rows, _ = X.vector_pca(_vectors(spark, d), "embedding", 3)
     return rows.select("vec_id", "pc1", "pc2", "pc3")
 
 
 def _labelled(spark, d):
-    return vector_columns(_vectors(spark, d), "embedding", 16).withColumn("y", (F.col("label") == 0).cast("int")).select("vec_id", "y", *[f"V{i}" for i in range(1, 17)])
+    return vector_columns(_vectors(spark, d), "embedding", 64).withColumn("y", (F.col("label") == 0).cast("int")).select("vec_id", "y", *[f"V{i}" for i in range(1, 65)])
 
 
 @query
 def q_logistic(spark, d):
     rows = L.hash_split(_labelled(spark, d), "vec_id", 0.25)
-    cols = [f"V{i}" for i in range(1, 17)]
+    cols = [f"V{i}" for i in range(1, 65)]
     return D.supervised(rows.filter("split = 'train'"), rows.filter("split = 'test'"), cols, "y").select("vec_id", "y", "probability")
 
 
 @query
 def q_gbt(spark, d):
     rows = L.hash_split(_labelled(spark, d), "vec_id", 0.25)
-    cols = [f"V{i}" for i in range(1, 17)]
+    cols = [f"V{i}" for i in range(1, 65)]
     return D.supervised(rows.filter("split = 'train'"), rows.filter("split = 'test'"), cols, "y", "boosted", maxIter=5, seed=1).select("vec_id", "y", "probability")
 
 

@@ -52,6 +52,10 @@ def test_vector_operators(spark):
     assert abs(total - 180) < 1e-6
     scores, share = X.pca(wide, ["V0", "V1", "V2"], 3)
     assert abs(share.sum() - 1) < 1e-9 and scores.count() == 60
+    whole, share_too = X.vector_pca(df, "v", 3)
+    assert np.allclose(share, share_too)
+    names = ["pc1", "pc2", "pc3"]
+    assert np.allclose(*(np.array([[r[n] for n in names] for r in f.orderBy("id").collect()]) for f in (scores, whole)), atol=1e-8)
 
 
 def test_one_class_dual_holds_its_constraints():
