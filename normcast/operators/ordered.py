@@ -86,22 +86,31 @@ def order_keys(df: DataFrame, name: str) -> list[Column]:
     return [parts[0].isNull().cast("int"), *[F.coalesce(p, F.lit(0)) for p in parts]]
 
 
-def among_first(df: DataFrame, keys: Sequence[str], k: int) -> Column:
-    """Whether a row is among the first ``k`` in order of the numeric, never missing keys: compared where it lies.
+def among_each(df: DataFrame, keys: Sequence[str], ks: Sequence[int]) -> list[Column]:
+    """Of each k whether a row is among the first k in order of the numeric, never missing keys: compared where it lies.
 
-    Rows alike in all keys stay together. There must be ``k`` rows.
+    Rows alike in all keys stay together. There must be as many rows. The k share their rounds as long as they lie among the same rows.
     """
-    if k <= 0:
-        return F.lit(False)
-    out, tied, rest, left = F.lit(False), F.lit(True), df, k
+    out, tied, left, path = [[x] * len(ks) for x in (F.lit(False), F.lit(True), 0, ())]
+    left, rests = list(ks), {(): df}
+    live = {i for i, k in enumerate(ks) if k > 0}
     for key in keys:
-        value, smaller, equal = kth_values(rest, key, [left - 1])[left - 1]
-        at = F.col(key) == F.lit(value)
-        out, tied, left = out | (tied & (F.col(key) < F.lit(value))), tied & at, left - smaller
-        if equal == left:
-            break
-        rest = rest.filter(at)
-    return out | tied
+        found = {p: kth_values(rests[p], key, {left[i] - 1 for i in live if path[i] == p}) for p in {path[i] for i in live}}
+        for i in sorted(live):
+            value, smaller, equal = found[path[i]][left[i] - 1]
+            at = F.col(key) == F.lit(value)
+            out[i], tied[i], left[i] = out[i] | (tied[i] & (F.col(key) < F.lit(value))), tied[i] & at, left[i] - smaller
+            if equal == left[i]:
+                live.remove(i)
+                continue
+            before, path[i] = path[i], (*path[i], (key, value))
+            rests.setdefault(path[i], rests[before].filter(at))
+    return [o | t if k > 0 else F.lit(False) for o, t, k in zip(out, tied, ks)]
+
+
+def among_first(df: DataFrame, keys: Sequence[str], k: int) -> Column:
+    """``among_each`` of one k."""
+    return among_each(df, keys, [k])[0]
 
 
 def running_totals(df: DataFrame, key: str, sums: dict[str, str], descending: bool = True, buckets: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normcast.functions.scalar import salted_rank_key
-from normcast.operators.ordered import among_first, order_keys
+from normcast.operators.ordered import among_each, among_first, order_keys
 from normcast.operators.quality import ContractError, require_columns
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
@@ -66,7 +66,7 @@ def temporal_split(df: DataFrame, time_col: str, id_col: str, train: float = 0.7
     slim = keyed.select(*own)
     n = df.count()
     a, b = cut_points(n, train, validation)
-    first, second = (among_first(slim, own, k) for k in (a, b))
+    first, second = among_each(slim, own, [a, b])
     rows = keyed.withColumn("split", F.when(first, TRAIN).when(second, VALIDATION).otherwise(TEST)).drop(*own)
     meta = {"train_ratio": train, "validation_ratio": validation, "test_ratio": round(1 - train - validation, 6), "n_train": a, "n_validation": b - a, "n_test": n - b}
     return Split(rows, (), meta)
@@ -106,7 +106,7 @@ def row_range(df: DataFrame, time_col: str, id_col: str, first: int, last: int)
     keyed, own = _keyed(df, time_col, id_col)
     slim = keyed.select(*own)
     n = slim.count()
-    before, upto = (among_first(slim, own, min(max(k, 0), n)) for k in (first, last + 1))
+    before, upto = among_each(slim, own, [min(max(k, 0), n) for k in (first, last + 1)])
     return keyed.filter(upto & ~before).drop(*own)
 
 
