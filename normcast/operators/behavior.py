@@ -5,6 +5,7 @@ The formulas are this project's own: rows of an account in order of time, then i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,9 +54,12 @@ def hour_deviation(df: DataFrame, account: str, time: str, id_: str, out: str =
     """Distance on the clock, in hours, from the mean direction of the account's earlier hours."""
     w = _past(account, time, id_)
     hour = (F.hour(time) + F.minute(time) / 60.0).cast("double")
-    turn = hour * F.lit(2 * 3.141592653589793 / 24)
-    mean = F.pmod(F.atan2(F.avg(F.sin(turn)).over(w), F.avg(F.cos(turn)).over(w)) * F.lit(24 / (2 * 3.141592653589793)), F.lit(24.0))
-    apart = F.abs(hour - mean)
+    minute = F.hour(time) * 60 + F.minute(time)
+    # where earlier hours cancel out, the last bits decide: looked up, as the JVM's sines of some minutes differ from the C library's
+    turns = [(h + m / 60.0) * math.pi / 12 for h in range(24) for m in range(60)]
+    sine, cosine = (F.get(F.array(*[F.lit(f(t)) for t in turns]), minute) for f in (math.sin, math.cos))
+    mean = F.atan2(F.avg(sine).over(w), F.avg(cosine).over(w)) * 12 / F.lit(math.pi)
+    apart = F.abs(hour - F.when(mean < 0, mean + 24).otherwise(mean))
     return df.withColumn(out, F.when(mean.isNotNull(), F.least(apart, 24 - apart)))
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+from oracle import check_same
 from pyspark.sql import functions as F
 
 from normcast.functions import circuits as C
@@ -9,6 +10,7 @@ from normcast.operators import metrics as M
 from normcast.operators import quantum as Q
 from normcast.operators import similarity as N
 from normcast.operators import transforms as X
+from normcast.plans import catalog, oracles
 
 
 def test_metrics_by_hand(spark):
@@ -149,3 +151,10 @@ def test_kernel_blocks_and_experiment_log(spark, tmp_path):
     A.log_experiment(spark, f"{tmp_path}/log", id="b", hypothesis="h")
     got = {r["id"]: r for r in A.experiments(spark, f"{tmp_path}/log").collect()}
     assert got["a"]["metrics"] == '{"auc": 0.5}' and got["a"]["seed"] == "3" and got["b"]["hypothesis"] == "h"
+
+
+def test_hours_that_cancel_out_equal_sql(spark, tmp_path):
+    rows = [(3 * m + k, m, (m + 720 * k) % 1440 if k < 2 else (m * 7) % 1440, k) for m in range(720) for k in range(3)]
+    table = spark.createDataFrame(rows, "event_id long, user_id long, minute int, day int")
+    table.selectExpr("event_id", "user_id", "timestamp_ntz'2024-01-01' + make_dt_interval(day, 0, minute, 0) AS ts", "'view' AS event_type", "1D AS value").write.parquet(str(tmp_path / "events.parquet"))
+    check_same(catalog.q_temporal_deviation(spark, str(tmp_path)), str(tmp_path), oracles.oracle_sql()["q_temporal_deviation"])
