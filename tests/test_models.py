@@ -158,3 +158,17 @@ def test_hours_that_cancel_out_equal_sql(spark, tmp_path):
     table = spark.createDataFrame(rows, "event_id long, user_id long, minute int, day int")
     table.selectExpr("event_id", "user_id", "timestamp_ntz'2024-01-01' + make_dt_interval(day, 0, minute, 0) AS ts", "'view' AS event_type", "1D AS value").write.parquet(str(tmp_path / "events.parquet"))
     check_same(catalog.q_temporal_deviation(spark, str(tmp_path)), str(tmp_path), oracles.oracle_sql()["q_temporal_deviation"])
+
+
+def test_amounts_at_a_quantile_equal_sql(spark, tmp_path):
+    # an amount where the quantile between the two least of n earlier ones lies, but for rounding
+    lives = [[a / 100, *[(a + d) / 100] * (n - 1), round(a + d * (n - 1) * 0.05) / 100] for n in (3, 6, 7, 9, 13) for a in range(0, 900, 15) for d in (20, 40, 100)]
+    rows = [(100 * u + k, u, x) for u, life in enumerate(lives) for k, x in enumerate(life)]
+    rows += [(900_000 + i, 9_000, x) for i, x in enumerate([1.0, None, float("nan"), 2.0, float("inf"), 0.5, None, float("nan"), 3.0])]
+    table = spark.createDataFrame(rows, "event_id long, user_id long, value double")
+    table.selectExpr("event_id", "user_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, event_id) AS ts", "'view' AS event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.q_normal_range(spark, str(tmp_path))
+    check_same(got.filter("event_id < 900000"), str(tmp_path), f"SELECT * FROM ({oracles.oracle_sql()['q_normal_range']}) WHERE event_id < 900000")
+    at = {r["event_id"] - 900_000: r for r in got.filter("event_id >= 900000").collect()}
+    assert at[0]["low"] is None and at[0]["out_of_range"] == 0 and at[2]["low"] == at[2]["high"] == 1.0 and at[2]["out_of_range"] == 1
+    assert np.isnan(at[3]["high"]) and at[5]["low"] < 2 and at[6]["low"] > 0.5 and at[8]["out_of_range"] == 0
