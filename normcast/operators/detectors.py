@@ -243,8 +243,23 @@ def vector_moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndar
     return int(n), base + mean, got[1 + d :].reshape(d, d) / n - np.outer(mean, mean)
 
 
+def _added(x: np.ndarray) -> np.ndarray:
+    """Sums over the first axis, one row after the other: a column's sum has the same bits whatever columns are beside it.
+
+    Spark may run a function twice, once in a filter and once on what passes; products of whole matrices differ in their
+    last bits from batch to batch.
+    """
+    total = np.zeros(x.shape[1])
+    for row in x:
+        total += row
+    return total
+
+
 def pca_reconstruction(df: DataFrame, id_col: str, vector: str, *, components: int, where: Column | None = None, out: str = "error") -> DataFrame:
-    """Mean squared error of the projection on the leading components, fitted on all rows (those of ``where``): the linear autoencoder's optimum."""
+    """Mean squared error of the projection on the leading components, fitted on all rows (those of ``where``): the linear autoencoder's optimum.
+
+    Null of a vector that is null, holds null or NaN or has another length.
+    """
     n, mean, cov = vector_moments(df if where is None else df.filter(where), vector)
     if not n:
         return df.withColumn(out, F.lit(None).cast("double"))
@@ -254,8 +269,15 @@ def pca_reconstruction(df: DataFrame, id_col: str, vector: str, *, components: i
     @F.arrow_udf("double")
     def error(vectors: pa.Array) -> pa.Array:
         m, v = held.value
-        z = np.array(vectors.to_pylist(), float).reshape(len(vectors), len(m)) - m
-        return pa.array(((z - z @ v.T @ v) ** 2).mean(axis=1))
+        found = vectors.to_pylist()
+        sound = np.array([x is not None and len(x) == len(m) and None not in x for x in found], bool)
+        z = (np.array([x for x, ok in zip(found, sound) if ok], float).reshape(-1, len(m)) - m).T
+        rest = z.copy()
+        for axis in v:
+            rest -= axis[:, None] * _added(axis[:, None] * z)
+        out = np.full(len(found), np.nan)
+        out[sound] = _added(rest * rest) / len(m)
+        return pa.array(out, mask=np.isnan(out))
 
     return df.withColumn(out, error(vector))
 

@@ -172,3 +172,18 @@ def test_amounts_at_a_quantile_equal_sql(spark, tmp_path):
     at = {r["event_id"] - 900_000: r for r in got.filter("event_id >= 900000").collect()}
     assert at[0]["low"] is None and at[0]["out_of_range"] == 0 and at[2]["low"] == at[2]["high"] == 1.0 and at[2]["out_of_range"] == 1
     assert np.isnan(at[3]["high"]) and at[5]["low"] < 2 and at[6]["low"] > 0.5 and at[8]["out_of_range"] == 0
+
+
+def test_reconstruction_errors_keep_their_bits_in_any_batch(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(300)] + [(300, None), (301, [None] * 64), (302, [float("nan")] * 64)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    scored = D.pca_reconstruction(df, "id", "v", components=8)
+    before, got = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got.append({r["id"]: r["error"] for r in scored.select("id", "error").collect()})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got[0] == got[1] == got[2] and [got[0][i] for i in (300, 301, 302)] == [None] * 3
+    flags = {r["id"]: r["prediction"] for r in D.flagged(scored, "error", 0.1).collect()}
+    assert sum(flags[i] for i in range(300)) == 30 and flags[300] is None
