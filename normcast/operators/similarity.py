@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,23 +34,27 @@ def cosine_top(queries: DataFrame, corpus: DataFrame, id_col: str, vector: str,
 
 
 def packed_blocks(rows: DataFrame, id_col: str, vector: str, size: int = 1024) -> DataFrame:
-    """``(block, ids, vectors)``: doubles of about ``size`` rows each, dealt by a hash of id and vector."""
-    n = rows.count()
-    blocks = max(1, -(-n // size))
+    """``(block, ids, vectors, n)``: doubles of about ``size`` rows each, dealt by a hash of id and vector.
+
+    Its partitions are so many that pairs of them keep all machines busy, and hold some 64 blocks at most.
+    """
+    blocks = max(1, -(-rows.count() // size))
     dealt = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
+    parts = min(blocks, max(math.ceil((4 * rows.sparkSession.sparkContext.defaultParallelism) ** 0.5), -(-blocks // 48)))
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         v = np.array(table.column("v").to_pylist(), float)
         return pa.table({"block": [key[0].as_py()], "ids": [table.column("id").to_numpy().astype("<i8").tobytes()], "vectors": [v.tobytes()], "n": [len(v)]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("n", pa.int64())]))
 
-    return dealt.groupBy("block").applyInArrow(pack, "block long, ids binary, vectors binary, n long")
+    return dealt.repartition(parts, "block").groupBy("block").applyInArrow(pack, "block long, ids binary, vectors binary, n long")
 
 
 def _met(rows: DataFrame, id_col: str, vector: str, per_pair: Callable, schema: str, size: int, upper: bool = False, others: DataFrame | None = None) -> DataFrame:
     blocks = packed_blocks(rows, id_col, vector, size)
     sides = (blocks, blocks if others is None else packed_blocks(others, id_col, vector, size))
     a, b = (x.select(*[F.col(c).alias(f"{s}_{c}") for c in x.columns]) for s, x in zip("ab", sides))
-    meet = a.join(b, F.col("a_block") <= F.col("b_block")) if upper else a.crossJoin(b)
+    # each partition of one side reads each of the other: no pair of blocks is shuffled, and neither side broadcast
+    meet = a.join(b.hint("shuffle_replicate_nl"), (F.col("a_block") <= F.col("b_block")) if upper else F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,8 +64,7 @@ def _met(rows: DataFrame, id_col: str, vector: str, per_pair: Callable, schema:
                 vs = [np.frombuffer(x[f"{s}_vectors"], float).reshape(x[f"{s}_n"], -1) for s in "ab"]
                 yield from per_pair(*ids, *vs)
 
-    # one pair of blocks is some MB: few rows to a batch
-    return meet.repartition(meet.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(run, schema)
+    return meet.mapInArrow(run, schema)
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:

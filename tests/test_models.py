@@ -187,3 +187,15 @@ def test_reconstruction_errors_keep_their_bits_in_any_batch(spark):
     assert got[0] == got[1] == got[2] and [got[0][i] for i in (300, 301, 302)] == [None] * 3
     flags = {r["id"]: r["prediction"] for r in D.flagged(scored, "error", 0.1).collect()}
     assert sum(flags[i] for i in range(300)) == 30 and flags[300] is None
+
+
+def test_blocks_meet_without_shuffling_their_pairs(spark):
+    rng = np.random.default_rng(9)
+    x = {i: rng.normal(size=6) for i in range(150)}
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in x.items()], "id long, v array<double>")
+    gram = N.rbf_gram(df, "id", "v", 0.1, size=8)
+    plan = gram._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("CartesianProduct")]
+    assert "Exchange" not in above and "Broadcast" not in plan
+    got = {(r["i"], r["j"]): r["k"] for r in gram.collect()}
+    assert len(got) == 150 * 151 // 2 and all(i <= j and abs(k - np.exp(-0.1 * ((x[i] - x[j]) ** 2).sum())) < 1e-12 for (i, j), k in got.items())
