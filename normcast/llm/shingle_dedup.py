@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from normcast.llm.encoding import in_slices, whole
 from normcast.llm.scratch import dropped, joined, shuffle_width, small_batches, tidied, written
-from normcast.llm.simhash_dedup import components
+from normcast.llm.simhash_dedup import AT_ONCE, components
 
 BANDS, ROWS = 20, 4
 _STEP = 1 << 14
@@ -158,7 +158,7 @@ def near_links(rows: DataFrame, width: int = 5, similarity: float = 0.8, tile: i
     keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
     meets = joined(keyed, shared, ["band", "key"], BANDS * nodes.count()).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    groups = written(components(meets).withColumnRenamed("root", "group"), "groups")
+    groups = written(components(meets, at_once=AT_ONCE).withColumnRenamed("root", "group"), "groups")
     sizes = groups.groupBy("group").agg(F.count("*").alias("n")).withColumn("g", F.ceil(F.col("n") / tile).cast("int"))
     members = joined(groups, sizes, ["group"], groups.count()).join(nodes.select("node", "number"), "node")
     texts = rows.select("number", "text").join(members, "number").select("group", "g", "node", _sets(F.col("text"), width).alias("grams"))
@@ -183,7 +183,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("__row", "id", F.col("s.node").alias("node"), F.col("s.keys").alias("keys"), F.monotonically_increasing_id().alias("number"))
     rows = written(rows, "numbered")
     links = near_links(rows.select("number", "node", "keys", F.col("__row")[text_col].alias("text")), width, similarity)
-    roots = written(components(links), "roots")
+    roots = written(components(links, at_once=AT_ONCE), "roots")
     copies = rows.groupBy("node").agg(F.count("*").alias("n")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n")
     slim = joined(rows.select("id", "node", "number"), copies, ["node"], rows.count())
     first = slim.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "number")).alias("x"))

@@ -126,10 +126,35 @@ def near_links(nodes: DataFrame, differing: int = 3, tile: int = 1024) -> DataFr
     return dealt.mapInArrow(_tile_links(differing), "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Links of which one task finds the components, where a caller lets it: 16 MB.
+AT_ONCE = 1 << 20
+
+
+def least_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n nodes the smallest that links (a, b) between them reach."""
+    least = np.arange(n)
+    while True:
+        now, m = least.copy(), np.minimum(least[a], least[b])
+        for ends in (a, b, least[a], least[b]):
+            np.minimum.at(now, ends, m)
+        now = now[now]
+        if (now == least).all():
+            return least
+        least = now
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = [np.stack([c.to_numpy() for c in b.columns]) for b in batches]
+    nodes, ends = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), return_inverse=True)
+    ends = ends.reshape(2, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[least_reached(*ends, len(nodes))])], ["node", "root"])
+
+
+def components(links: DataFrame, at_once: int = 0) -> DataFrame:
     """``(node, root)`` of every node that has a link; the root is the component's smallest node.
 
-    Alternating large and small stars, each round written to the shared folder. The minimum of a
+    Up to ``at_once`` links are joined by one task; that spares the driver some hundred plans. More, or by default all, go by
+    alternating large and small stars, each round written to the shared folder. The minimum of a
     node's neighbours is combined before it is shuffled; joins move single links, but not those of hubs,
     whose minima are broadcast.
     """
@@ -145,6 +170,8 @@ def components(links: DataFrame) -> DataFrame:
 
     edges = written(directed(links), "links")
     before = state(edges)
+    if before[0] <= at_once:
+        return edges.coalesce(1).mapInArrow(_rooted, "node long, root long")
     while True:
         both = edges.union(edges.select("v", "u"))
         large = written(with_least(both, 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), "large")
