@@ -40,7 +40,7 @@ def packed_blocks(rows: DataFrame, id_col: str, vector: str, size: int = 1024) -
     """
     blocks = max(1, -(-rows.count() // size))
     dealt = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
-    parts = min(blocks, max(math.ceil((4 * rows.sparkSession.sparkContext.defaultParallelism) ** 0.5), -(-blocks // 48)))
+    parts = min(blocks, max(math.ceil((16 * rows.sparkSession.sparkContext.defaultParallelism) ** 0.5), -(-blocks // 48)))
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         v = np.array(table.column("v").to_pylist(), float)
