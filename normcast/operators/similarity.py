@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,7 +44,12 @@ def packed_blocks(rows: DataFrame, id_col: str, vector: str, size: int = 1024) -
     parts = min(blocks, max(math.ceil((16 * rows.sparkSession.sparkContext.defaultParallelism) ** 0.5), -(-blocks // 48)))
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        v = np.array(table.column("v").to_pylist(), float)
+        lists = table.column("v").combine_chunks()
+        width = len(lists[0]) if lists[0].is_valid else 0
+        if pc.all(pc.equal(pc.fill_null(pc.list_value_length(lists), -1), width)).as_py():
+            v = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
+        else:
+            v = np.array(lists.to_pylist(), float)
         return pa.table({"block": [key[0].as_py()], "ids": [table.column("id").to_numpy().astype("<i8").tobytes()], "vectors": [v.tobytes()], "n": [len(v)]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("n", pa.int64())]))
 
     return dealt.repartition(parts, "block").groupBy("block").applyInArrow(pack, "block long, ids binary, vectors binary, n long")
@@ -102,15 +108,61 @@ def within(rows: DataFrame, id_col: str, vector: str, radius: float, size: int =
     return _met(rows, id_col, vector, close, "id long, other long", size)
 
 
-def rbf_gram(rows: DataFrame, id_col: str, vector: str, gamma: float, size: int = 512) -> DataFrame:
-    """``(i, j, k)`` with i <= j of the kernel exp(-gamma |x - y|^2); the rest follows by symmetry."""
+#: Settings of the Parquet writer, and their least: bytes of a column's dictionary and of a page, rows of a page. Values rounded to six decimals
+#: repeat, but are more than Spark's 1 MB of dictionary holds, and too rarely twice within 20,000 rows for it to be kept.
+PAGES = {"parquet.dictionary.page.size": 8 << 20, "parquet.page.size": 8 << 20, "parquet.page.row.count.limit": 1 << 20}
+
+
+def wide_dictionaries(spark: SparkSession) -> None:
+    """Raise the session's Parquet settings to ``PAGES``; larger ones stay.
+
+    They change no result, and stay when an operator has returned, as its result is written when its caller runs it.
+    """
+    for name, least in PAGES.items():
+        if int(spark.conf.get(name, None) or 0) < least:
+            spark.conf.set(name, least)
+
+
+def _rounded_kernel(x: np.ndarray, y: np.ndarray, gamma: float, decimals: int) -> np.ndarray:
+    """exp(-gamma |x - y|^2), halves rounded up, of all pairs.
+
+    One matrix product gives the distances, each with a bound of its error; values that may round otherwise within their bound are found again from
+    the differences, their squares added in order.
+    """
+    unit, eps = 10.0**decimals, np.finfo(float).eps
+    with np.errstate(invalid="ignore", over="ignore"):
+        norms = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None]
+        k = np.exp(-gamma * np.maximum(norms - 2 * (x @ y.T), 0))
+        off = abs(gamma) * (2 * x.shape[1] + 8) * eps * norms
+        scaled = k * unit
+        bound = np.where(off < 1e-3, scaled * (1.01 * off + 8 * eps), np.inf)
+        row, col = np.nonzero(~(np.abs(scaled - np.floor(scaled) - 0.5) > bound))
+        for at in range(0, len(row), 4096):
+            r, c = row[at : at + 4096], col[at : at + 4096]
+            d = np.sqrt(np.cumsum((x[r] - y[c]) ** 2, axis=1)[:, -1])
+            scaled[r, c] = np.array([math.exp(v) for v in (-gamma * d**2).tolist()]) * unit
+        whole = np.floor(scaled)
+        return (whole + (scaled - whole >= 0.5)) / unit
+
+
+def rbf_gram(rows: DataFrame, id_col: str, vector: str, gamma: float, size: int = 512, decimals: int | None = None) -> DataFrame:
+    """``(i, j, k)`` with i <= j of the kernel exp(-gamma |x - y|^2); the rest follows by symmetry.
+
+    ``decimals`` rounds k, halves up. The result has n (n + 1) / 2 rows, in runs of i with ascending j; rounded ones are written to Parquet as
+    indices of a dictionary.
+    """
+    if decimals is not None:
+        wide_dictionaries(rows.sparkSession)
 
     def kernel(ia, ib, va, vb):
-        d = _distances(va, vb)
-        i, j = np.broadcast_arrays(ia[:, None], ib[None])
-        keep = (i <= j) if ia is ib or (len(ia) == len(ib) and (ia == ib).all()) else np.ones_like(d, bool)
-        lo, hi = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(np.exp(-gamma * d**2)[keep])], ["i", "j", "k"])
+        same = ia is ib or (len(ia) == len(ib) and (ia == ib).all())
+        a, b = np.argsort(ia, kind="stable"), np.argsort(ib, kind="stable")
+        ia, ib, va, vb = ia[a], ib[b], va[a], vb[b]
+        k = np.exp(-gamma * _distances(va, vb) ** 2) if decimals is None else _rounded_kernel(va, vb, gamma, decimals)
+        keep = ia[:, None] <= ib[None]
+        for lo, hi, value, kept in ((ia, ib, k, keep), *[(ib, ia, k.T, ~keep.T)] * (not same)):
+            r, c = np.nonzero(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(lo[r]), pa.array(hi[c]), pa.array(value[kept])], ["i", "j", "k"])
 
     return _met(rows, id_col, vector, kernel, "i long, j long, k double", size, upper=True)
 

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pyarrow.parquet as pq
 from oracle import check_same
 from pyspark.sql import functions as F
 
@@ -199,3 +202,41 @@ def test_blocks_meet_without_shuffling_their_pairs(spark):
     assert "Exchange" not in above and "Broadcast" not in plan
     got = {(r["i"], r["j"]): r["k"] for r in gram.collect()}
     assert len(got) == 150 * 151 // 2 and all(i <= j and abs(k - np.exp(-0.1 * ((x[i] - x[j]) ** 2).sum())) < 1e-12 for (i, j), k in got.items())
+
+
+def test_rounded_kernel_is_written_as_indices_of_a_dictionary(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 16)) / 4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    N.rbf_gram(df, "id", "v", 0.5, size=512, decimals=6).coalesce(1).write.parquet(str(tmp_path / "gram"))
+    (file,) = (tmp_path / "gram").glob("*.parquet")
+    table = pq.read_table(file)
+    i, j, k = (table.column(c).to_numpy() for c in "ijk")
+    assert len(set(zip(i.tolist(), j.tolist()))) == len(i) == 2000 * 2001 // 2 and (i <= j).all()
+    exact = np.exp(-0.5 * ((x[i] - x[j]) ** 2).sum(axis=1))
+    assert (np.abs(k - exact) < 0.5000001e-6).all() and (k == np.round(k, 6)).all() and len(np.unique(k)) > 1 << 17
+    meta = pq.ParquetFile(file).metadata
+    columns = [meta.row_group(g).column(c) for g in range(meta.num_row_groups) for c in range(3)]
+    assert not any("PLAIN" in c.encodings for c in columns)
+    assert sum(c.total_compressed_size for c in columns) < 6 * len(i)
+
+
+def test_rounded_kernel_finds_values_near_a_half_again():
+    rng = np.random.default_rng(4)
+
+    def in_order(x, y):
+        total = np.zeros((len(x), len(y)))
+        for c in range(x.shape[1]):
+            total += (x[:, None, c] - y[None, :, c]) ** 2
+        scaled = np.exp(-0.5 * np.sqrt(total) ** 2) * 1e6
+        return np.floor(scaled + 0.5) / 1e6
+
+    near = rng.normal(size=(200, 8)) / 3
+    for far in (0, 1e3, 1e7):
+        x = near + far
+        assert (N._rounded_kernel(x[:90], x, 0.5, 6) == in_order(x[:90], x)).all()
+    # pairs at distances whose values lie within 1e-15 of a half, on either side
+    halves = np.sqrt(-2 * np.log((rng.integers(1, 10**6, 300) - 0.5) / 1e6))[:, None]
+    assert (N._rounded_kernel(np.zeros((1, 1)), halves, 0.5, 6) == np.array([[np.floor(s) + (s % 1 >= 0.5) for s in (math.exp(-0.5 * v**2) * 1e6 for v in halves[:, 0].tolist())]]) / 1e6).all()
+    odd = N._rounded_kernel(np.array([[np.inf], [np.nan], [1e200]]), np.array([[0.0]]), 0.5, 6)[:, 0]
+    assert odd[0] == 0 and np.isnan(odd[1]) and odd[2] == 0
