@@ -155,9 +155,10 @@ def rbf_gram(rows: DataFrame, id_col: str, vector: str, gamma: float, size: int
         wide_dictionaries(rows.sparkSession)
 
     def kernel(ia, ib, va, vb):
-        same = ia is ib or (len(ia) == len(ib) and (ia == ib).all())
         a, b = np.argsort(ia, kind="stable"), np.argsort(ib, kind="stable")
         ia, ib, va, vb = ia[a], ib[b], va[a], vb[b]
+        # both sides of a block are packed apart, in the order in which machines sent its rows
+        same = len(ia) == len(ib) and (ia == ib).all()
         k = np.exp(-gamma * _distances(va, vb) ** 2) if decimals is None else _rounded_kernel(va, vb, gamma, decimals)
         keep = ia[:, None] <= ib[None]
         for lo, hi, value, kept in ((ia, ib, k, keep), *[(ib, ia, k.T, ~keep.T)] * (not same)):

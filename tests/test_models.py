@@ -240,3 +240,12 @@ def test_rounded_kernel_finds_values_near_a_half_again():
     assert (N._rounded_kernel(np.zeros((1, 1)), halves, 0.5, 6) == np.array([[np.floor(s) + (s % 1 >= 0.5) for s in (math.exp(-0.5 * v**2) * 1e6 for v in halves[:, 0].tolist())]]) / 1e6).all()
     odd = N._rounded_kernel(np.array([[np.inf], [np.nan], [1e200]]), np.array([[0.0]]), 0.5, 6)[:, 0]
     assert odd[0] == 0 and np.isnan(odd[1]) and odd[2] == 0
+
+
+def test_block_meets_itself_in_another_order(monkeypatch):
+    monkeypatch.setattr(N, "_met", lambda rows, id_col, vector, per_pair, *a, **b: per_pair)
+    kernel = N.rbf_gram(None, "id", "v", 0.1)
+    ids, x = np.arange(40), np.random.default_rng(5).normal(size=(40, 3))
+    other = np.random.default_rng(6).permutation(40)
+    got = [(r["i"], r["j"]) for batch in kernel(ids, ids[other], x, x[other]) for r in batch.to_pylist()]
+    assert sorted(got) == [(i, j) for i in range(40) for j in range(i, 40)]
